@@ -16,3 +16,28 @@ def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
     """Select the schema's columns, casting what is there and adding nulls for what is not (additive migration)."""
     have = set(df.columns)
     return df.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The same rows in at least as many partitions as there are cores, for work that costs much per row.
+
+    A table of many files or row groups is left as it is, so at scale nothing is shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage by writing to the folder that all executors share; outside a cluster a local folder is set if none is."""
+    spark = df.sparkSession
+    sc = spark.sparkContext
+    if not sc.getCheckpointDir():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not sc.master.startswith("local[") and sc.master != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            import tempfile
+
+            where = tempfile.mkdtemp(prefix="checkpoint-")
+        sc.setCheckpointDir(where)
+    return df.checkpoint()
