@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import general
+from lodestone.plans import general, search
 
-MODULES = (general,)
+MODULES = (general, search)
 
 
 def queries():
@@ -16,4 +16,4 @@ def oracle_sql():
 
 
 def flagship(spark, sf_dir):
-    return general.p1_found(spark, sf_dir)
+    return search.bm25_topk(spark, sf_dir)
