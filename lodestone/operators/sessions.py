@@ -44,10 +44,21 @@ def daily_rate(df: DataFrame, key: str, ts: str, seconds: int, limit: int) -> Da
     return x.withColumn("n", F.count("*").over(w)).where("k = own").groupBy(key).agg(F.sum((F.col("n") >= limit).cast("bigint")).alias("denied"), F.count("*").alias("events"))
 
 
-def budget(df: DataFrame, group: str, order: list, text: str, limit: int) -> DataFrame:
-    """Rows of each group in order until limit characters are used; the last one is cut."""
-    before = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    x = df.withColumn("_used", F.coalesce(F.sum(F.length(text)).over(before), F.lit(0))).where(F.col("_used") < limit)
+def newest_within(df: DataFrame, group: str, ts: str, text: str, limit: int) -> DataFrame:
+    """Rows of the days that the newest limit characters of each group can reach: sums per day decide, so that a group
+    of any size goes into the window after this with one day more than its budget at most. Rows without time come last."""
+    x = df.withColumn("_d", F.to_date(ts))
+    days = x.groupBy(group, "_d").agg(F.sum(F.coalesce(F.length(text), F.lit(0))).alias("_n"))
+    later = Window.partitionBy(group).orderBy(F.col("_d").desc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    near = days.withColumn("_later", F.coalesce(F.sum("_n").over(later), F.lit(0))).where(F.col("_later") < limit)
+    near = near.select(F.col(group).alias("_g"), F.col("_d").alias("_e"))
+    return x.join(near, (F.col(group) == F.col("_g")) & F.col("_d").eqNullSafe(F.col("_e")), "left_semi").drop("_d")
+
+
+def budget(df: DataFrame, group: str, ts: str, tie: str, text: str, limit: int) -> DataFrame:
+    """The newest rows of each group until limit characters are used; the last one is cut."""
+    before = Window.partitionBy(group).orderBy(F.col(ts).desc_nulls_last(), tie).rowsBetween(Window.unboundedPreceding, -1)
+    x = newest_within(df, group, ts, text, limit).withColumn("_used", F.coalesce(F.sum(F.length(text)).over(before), F.lit(0))).where(F.col("_used") < limit)
     return x.withColumn(text, F.substring(F.col(text), F.lit(1), (F.lit(limit) - F.col("_used")).cast("int"))).drop("_used")
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import general, search
+from lodestone.plans import general, memory, search
 
-MODULES = (general, search)
+MODULES = (general, search, memory)
 
 
 def queries():
