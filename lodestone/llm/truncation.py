@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.sources.tables import read_table
+from lodestone.sources.tables import checkpointed, read_table
 
 # Marks that a shortening writer leaves at the end of a text.
 CUT_MARK = r"(?:\s*(?:\[(?:truncated|cut|snip|\.\.\.|…)\]|\((?:cut|truncated)\)|…|\.{3,}|�+))+$"
@@ -204,8 +204,9 @@ def scored(sessions: DataFrame, reports: DataFrame) -> DataFrame:
     last 160 characters.
     """
     texts = texts_of(sessions, reports)
-    feat = features(texts)
-    r = ratios(feat, word_pairs(texts))
+    # both feed several sums each; no text is carried on
+    feat = checkpointed(features(texts))
+    r = checkpointed(ratios(feat, word_pairs(texts)))
     lim = limits(feat).groupBy("rec_table", "source").agg(*[F.map_from_entries(F.collect_list(F.when(F.col("measure") == k, F.struct("len", "post")))).alias(f"at_{k}") for k in ("chars", "body", "bytes")])
     x = r.join(lim, ["rec_table", "source"], "left")
     # a mark may stand after white space that went with the cut, so the part before it may be a little shorter
