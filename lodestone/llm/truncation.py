@@ -7,7 +7,8 @@
 2. Endings. For a text without an end mark, the last two words are looked up in the corpus's own counts of how often
    those words end a sentence and how often they go on; broken words, open brackets and hanging punctuation speak for a
    cut, closed odd endings (links, emoticons, code) against it. This gives a likelihood ratio of cut against complete.
-3. Both are combined: prior odds are the censoring posterior at a limit, and elsewhere the source's rate of cuts in
+3. Both are combined: prior odds are the censoring posterior at a limit (for a text with an end mark no more than the
+   share of cut texts there that the end marks allow), and elsewhere the source's rate of cuts in
    mid-transfer, which EM estimates from the ratios of that source. A text is a case when its posterior exceeds 0.5.
 
 Only counts are gathered: lengths and ratio bins per source, word pairs over the corpus.
@@ -37,6 +38,7 @@ MIN_AT_LIMIT = 5  # texts at one length before it can be a limit
 NEAR = 20  # lengths on either side that a candidate is compared with
 EXCESS = 5.0  # times the neighbours' mean
 RATIO_BINS = 0.25
+CLUSTERING = 1.5  # times the mean density of sentence ends that one length may see, as texts are built of like sentences
 
 
 def _texts(df: DataFrame, table: str, rec: str, source: str, text: str) -> DataFrame:
@@ -115,9 +117,10 @@ def tokens(c):
 def word_pairs(texts: DataFrame) -> DataFrame:
     """w2, w1, all, ends: how often two neighbouring words occur before a further token, and before an end of sentence.
 
-    Counted over every text that has end marks or bars of its own, the last word of each left out.
+    Counted over every text that has end marks or bars of its own, the last word of each left out. The mark of a cut
+    ends no sentence and is left out too.
     """
-    t = texts.where(F.col("text").rlike(r"[.!?|]")).select(tokens(F.col("text")).alias("t")).where("size(t) > 1")
+    t = texts.where(F.col("text").rlike(r"[.!?|]")).select(tokens(F.regexp_replace("text", CUT_MARK, "")).alias("t")).where("size(t) > 1")
     pairs = F.transform(
         F.sequence(F.lit(1), F.size("t") - 1),
         lambda i: F.struct(F.when(i > 1, F.get("t", i - 2)).otherwise(F.lit("")).alias("w2"), F.get("t", i - 1).alias("w1"), F.get("t", i).rlike(r"^[.!?|]").cast("long").alias("e")),
@@ -128,11 +131,13 @@ def word_pairs(texts: DataFrame) -> DataFrame:
 def features(texts: DataFrame) -> DataFrame:
     """Sizes and the form of the ending: kind is mark, end, open, hang, word or closed; w2 and w1 its last tokens."""
     b = texts.withColumn("body_text", F.regexp_replace("text", CUT_MARK, "")).withColumn("tail", F.substring("body_text", -160, 160))
-    count = lambda p: F.size(F.regexp_extract_all(F.regexp_replace("tail", r"[:;]-?[()]", ""), F.lit(p), F.lit(0)))
+    # code marks are counted from the start of the text, as its last part may begin inside a pair
+    count = lambda p: F.size(F.regexp_extract_all(F.regexp_replace("body_text", r"[:;]-?[()]", ""), F.lit(p), F.lit(0)))
     opened = (
         F.col("tail").rlike(r"[(\[{«„][^)\]}»“”]*$") & ~F.col("tail").rlike(r"[:;]-?[(]$")
         | F.col("tail").rlike(r"<(?:a|b|i|u|p|em|strong|code|pre|li|td|div|span)>[^<]*$|<[a-z/]{0,10}$")
         | F.col("tail").rlike(r"\n\|[^\n]*[^|\n\s]\s*$")
+        | F.col("tail").rlike(r"(?:^|[\s.!?,;:])&(?:#\d*|[a-z]{1,7})$")
         | ((count("```") % 2 == 1) | (count("(?<!`)`(?!`)") % 2 == 1)) & F.col("tail").rlike(r"`[^`]*$")
     )
     last = F.substring("tail", -1, 1)
@@ -148,7 +153,7 @@ def features(texts: DataFrame) -> DataFrame:
     t = tokens(F.col("tail"))
     return b.select(
         "rec_table", "rec_id", "source", kind.alias("kind"), "chars", "bytes", F.when(F.col("text") != F.col("body_text"), F.length("body_text")).otherwise(F.lit(0)).cast("long").alias("body"),
-        F.element_at(F.concat(F.array(F.lit(""), F.lit("")), t), -2).alias("w2"), F.element_at(F.concat(F.array(F.lit("")), t), -1).alias("w1"),
+        (F.size(F.regexp_extract_all("tail", F.lit(r"[.!?]\s"), F.lit(0))) / F.greatest(F.length("tail"), F.lit(1))).alias("marks"), F.element_at(F.concat(F.array(F.lit(""), F.lit("")), t), -2).alias("w2"), F.element_at(F.concat(F.array(F.lit("")), t), -1).alias("w1"),
     )
 
 
@@ -196,6 +201,21 @@ def rates(r: DataFrame) -> DataFrame:
     return h.groupBy("rec_table", "source").agg(F.collect_list("bin").alias("bins"), F.collect_list("c").alias("counts")).mapInPandas(_rates, "rec_table string, source string, rate double")
 
 
+def cut_at_limits(x: DataFrame) -> DataFrame:
+    """cut_share: the share of cut texts among those at a source's limits, from how many of them have an end mark; end_lr:
+    likelihood of an end mark in a cut text against a complete one there.
+
+    A cut leaves an end mark where it falls right behind one or the white space after it, which is as likely as such
+    places are frequent in the last part of the texts at the limit. A complete text has one with the share seen away from the limits. The
+    share at the limits is a mixture of both, so complete texts that happen to have the limit's length show in this way.
+    Both are null where a source hardly uses end marks.
+    """
+    end, limit = (F.col("kind") == "end").cast("double"), F.col("censored") > 0
+    g = x.groupBy("rec_table", "source").agg(F.avg(F.when(limit, end)).alias("at"), F.avg(F.when(~limit, end)).alias("off"), (2 * CLUSTERING * F.avg(F.when(limit, F.col("marks")))).alias("chance"))
+    share, some = (F.col("off") - F.col("at")) / (F.col("off") - F.col("chance")), F.col("off") > 2 * F.col("chance")
+    return g.select("rec_table", "source", F.when(some, F.greatest(F.lit(1e-4), F.least(share, F.lit(0.999)))).alias("cut_share"), F.when(some, F.col("chance") / F.col("off")).alias("end_lr"))
+
+
 def scored(sessions: DataFrame, reports: DataFrame) -> DataFrame:
     """rec_table, rec_id, source, posterior for every text that prints something.
 
@@ -212,10 +232,13 @@ def scored(sessions: DataFrame, reports: DataFrame) -> DataFrame:
     # a mark may stand after white space that went with the cut, so the part before it may be a little shorter
     places = [("chars", F.col("chars")), ("bytes", F.col("bytes")), *[("body", F.col("body") + i) for i in (0, 1, 2)]]
     at = F.greatest(*[F.coalesce(F.try_element_at(F.col(f"at_{k}"), n), F.lit(0.0)) for k, n in places])
-    x = x.select("rec_table", "rec_id", "source", "kind", "lr", "w2", "w1", "chars", "bytes", at.alias("censored"))
+    x = x.select("rec_table", "rec_id", "source", "kind", "lr", "w2", "w1", "chars", "marks", at.alias("censored"))
     x = x.join(rates(x.where("censored = 0")), ["rec_table", "source"], "left")
-    prior = F.when(F.col("censored") > 0, F.least("censored", F.lit(0.999))).otherwise(F.coalesce("rate", F.lit(0.01)))
-    odds = prior / (1 - prior) * F.col("lr")
+    x = x.join(cut_at_limits(x), ["rec_table", "source"], "left")
+    at_limit = F.least("censored", F.lit(0.999), F.when(F.col("kind") == "end", F.col("cut_share")))
+    prior = F.when(F.col("censored") > 0, at_limit).otherwise(F.coalesce("rate", F.lit(0.01)))
+    lr = F.coalesce(F.when((F.col("censored") > 0) & (F.col("kind") == "end"), F.col("end_lr")), F.col("lr"))
+    odds = prior / (1 - prior) * lr
     return x.withColumn("posterior", odds / (1 + odds))
 
 

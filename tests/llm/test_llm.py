@@ -86,6 +86,30 @@ def test_truncated_texts(spark):
     assert "null source" in got and not got & {"none", "blank"}
 
 
+def test_complete_texts_of_the_limits_length_are_no_cases(spark):
+    """Cut texts at a limit are found, complete ones of just that length are not, nor is a text whose code span begins early."""
+    rng = random.Random(6)
+    subj, verb, obj = ["The cat", "A dog", "My aunt", "The old man"], ["sees", "paints", "sells", "moves"], ["the small red house", "a boat on the lake", "every green apple", "the wooden table"]
+    one = lambda: f"{rng.choice(subj)} {rng.choice(verb)} {rng.choice(obj)}"
+    full = [". ".join(one() for _ in range(rng.randint(2, 12))) + "." for _ in range(1500)]
+    rows = [(f"t{i}", "a", t[:200] if len(t) > 200 else t) for i, t in enumerate(full)]
+    exact = []
+    while len(exact) < 60:
+        t = ". ".join(one() for _ in range(rng.randint(4, 7))) + "."
+        exact += [t] * (len(t) == 200)
+    rows += [(f"e{i}", "a", t) for i, t in enumerate(exact)]
+    code = "`" + "x" * 20 + "` " + "A dog sees a boat. " * 8 + "My aunt paints the table :)"
+    rows += [("code", "b", code), ("entity", "b", "A dog sees a boat on the lake. &am"), ("and", "b", "A dog sees a boat on the lake, and")]
+    rows += [(f"p{i}", "b", f"{one()}, and {one()}." if i % 3 else f"{one()}.") for i in range(300)]
+    rows += [(f"q{i}", "b", f"{one()}, and...") for i in range(5)]
+    s = spark.createDataFrame(rows, "id string, client string, user_prompt string")
+    r = spark.createDataFrame([], "session_id string, writer string, summary string")
+    got = {x.rec_id for x in X.scored(s, r).where("posterior > 0.5").collect()}
+    cut = {f"t{i}" for i, t in enumerate(full) if len(t) > 200 and t[:200].rstrip()[-1] != "."}
+    assert len(got & cut) / len(cut) > 0.97 and not [x for x in got if x[0] == "e" and x != "entity"]
+    assert {"entity", "and"} <= got and "code" not in got
+
+
 # --- privacy
 
 
