@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import general, memory, search
+from lodestone.plans import digest, general, memory, search
 
-MODULES = (general, search, memory)
+MODULES = (general, search, memory, digest)
 
 
 def queries():
