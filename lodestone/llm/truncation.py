@@ -224,9 +224,9 @@ def scored(sessions: DataFrame, reports: DataFrame) -> DataFrame:
     last 160 characters.
     """
     texts = texts_of(sessions, reports)
-    # both feed several sums each; no text is carried on
+    # all three feed several sums each; no text is carried on
     feat = checkpointed(features(texts))
-    r = checkpointed(ratios(feat, word_pairs(texts)))
+    r = checkpointed(ratios(feat, checkpointed(word_pairs(texts))))
     lim = limits(feat).groupBy("rec_table", "source").agg(*[F.map_from_entries(F.collect_list(F.when(F.col("measure") == k, F.struct("len", "post")))).alias(f"at_{k}") for k in ("chars", "body", "bytes")])
     x = r.join(lim, ["rec_table", "source"], "left")
     # a mark may stand after white space that went with the cut, so the part before it may be a little shorter
