@@ -33,9 +33,8 @@ LEAST = 0.12  # containment of an item in one window from which the pair is veri
 SHARE = 0.47  # words of an item that a document must repeat: half, less the words beside changed ones
 RARE_SHARE = 0.34  # names and numbers of an item that must be among them
 SIZES = (24, 48, 64, 96, 144, 256, 512)  # upper bounds of the partitions; larger items use the last one
-FEW = 6  # telling words of items in a window, below which it is passed over, as it is without any rare one
 MAX_BROADCAST_ITEMS = 5_000  # items up to which their signatures (64 rows each) go to every task instead of a shuffle
-MAX_VOCABULARY = 2_000_000  # words of all items up to which that first look is taken
+MAX_LOOK_ITEMS = 20_000  # items up to which windows that can't reach any of them are left out before the shuffle
 PRIME = (1 << 61) - 1
 
 SPLIT = re.compile(r"(?<=\w)[-‐]\n\s*(?=[^\W\d_])")
@@ -98,61 +97,75 @@ def _items(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             ws = words(q)
             sh = shingle_hashes(word_hashes(ws, memo))
             if len(sh):
-                rows.append((i, ws, size_class(len(ws)), len(sh), signature(sh).tolist()))
-        yield pd.DataFrame(rows, columns=["item_id", "words", "cls", "n", "sig"])
+                rows.append((i, ws, size_class(len(ws)), len(sh), sh.tolist(), signature(sh).tolist()))
+        yield pd.DataFrame(rows, columns=["item_id", "words", "cls", "n", "sh", "sig"])
 
 
 def item_index(items: DataFrame) -> DataFrame:
-    """item_id, words, cls (size partition), n (shingles), sig, and rare: the words that hardly another item has."""
-    x = items.where("item_id is not null").select("item_id", "question").distinct().mapInPandas(_items, "item_id bigint, words array<string>, cls int, n int, sig array<bigint>")
-    df = x.select("item_id", F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
+    """item_id, words, cls (size partition), n (shingles), sh (their hashes), sig, and rare: the words that hardly another question has."""
+    x = items.where("item_id is not null").select("item_id", "question").distinct().mapInPandas(_items, "item_id bigint, words array<string>, cls int, n int, sh array<bigint>, sig array<bigint>")
+    # one question under several ids counts once
+    df = x.select("words").distinct().select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("df"))
     one = x.select("item_id", F.explode(F.array_distinct("words")).alias("w")).join(df.where(f"df <= 3 or w rlike '^[0-9]+$'"), "w")
     return x.join(one.groupBy("item_id").agg(F.collect_set("w").alias("rare")), "item_id", "left")
 
 
-def telling_words(index: DataFrame) -> dict[str, bool] | None:
-    """Words of items that less than a fifth of them have, and whether a word is rare and no number; None, and no first
-    look, where they are too many to send."""
-    n = index.count()
-    w = index.select(F.explode(F.array_distinct("words")).alias("w")).groupBy("w").agg(F.count("*").alias("c")).where(F.col("c") < F.lit(max(n / 5, 2)))
-    if w.limit(MAX_VOCABULARY + 1).count() > MAX_VOCABULARY:
+def first_look(index: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, int]] | None:
+    """For each size partition the shingles and minima of its items, sorted, and its least number of shingles; None, and
+    no first look, where there are too many items to send.
+
+    Equal minima come from a shared shingle only, so a window with none, or with fewer minima of any item than the
+    search asks of one, is no hit of the search either: leaving it out changes no result.
+    """
+    if index.count() > MAX_LOOK_ITEMS:
         return None
-    return {r.w: r.c <= 3 and not r.w.isdigit() for r in w.collect()}
+    t = index.select("cls", "n", "sh", "sig").toPandas()
+    return {int(c): (np.unique(np.concatenate(g["sh"].tolist())), np.unique(np.concatenate(g["sig"].tolist())), int(g["n"].min())) for c, g in t.groupby("cls")}
+
+
+def among(x: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which of x are among the known, sorted values."""
+    return known[np.minimum(np.searchsorted(known, x), len(known) - 1)] == x
+
+
+def least_equal(n, m):
+    """Equal minima asked of an item of n and a window of m shingles: with containment c, J = c n / (n + m - c n)."""
+    return 0.6 * HASHES * LEAST * n / (n + m)
 
 
-def windows(docs: DataFrame, classes: list[int], telling: dict[str, bool] | None) -> DataFrame:
-    """doc_id, cls, win, words (with a margin on both sides) and sig of every window worth comparing."""
-    shared = docs.sparkSession.sparkContext.broadcast(telling)
+def windows(docs: DataFrame, classes: list[int], look: dict[int, tuple[np.ndarray, np.ndarray, int]] | None) -> DataFrame:
+    """doc_id, cls, win, words (with a margin on both sides) and sig of every window that an item may be found in."""
+    shared = docs.sparkSession.sparkContext.broadcast(look)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         memo: dict[str, int] = {}
-        tell = shared.value
+        known = shared.value
         for d in batches:
             rows = []
             for i, text in zip(d["doc_id"], d["text"], strict=True):
                 ws = words(text)
                 if len(memo) > 2_000_000:
                     memo.clear()
-                if tell is not None:
-                    seen = np.fromiter((w in tell for w in ws), bool, len(ws))
-                    if seen.sum() < FEW:
-                        continue
-                    rare = np.fromiter((tell.get(w, False) for w in ws), bool, len(ws))
-                    upto, rare_upto = (np.concatenate([[0], np.cumsum(x)]) for x in (seen, rare))
-                h = sh = None
+                sh = shingle_hashes(word_hashes(ws, memo))
+                if not len(sh):
+                    continue
                 for c in classes:
                     size = SIZES[c]
                     step = max(size // 2, 1)
-                    for k, a in enumerate(range(0, max(len(ws) - SHINGLE + 1, 1), step)):
+                    if known is not None:
+                        shingles, minima, n = known[c]
+                        upto = np.concatenate([[0], np.cumsum(among(sh.astype(np.int64), shingles))])
+                        if not upto[-1]:
+                            continue
+                    for k, a in enumerate(range(0, len(sh), step)):
                         b = min(a + size, len(ws))
-                        if tell is not None and (upto[b] - upto[a] < FEW or rare_upto[b] == rare_upto[a]):
+                        e = max(b - SHINGLE + 1, a + 1)
+                        if known is not None and upto[e] == upto[a]:
+                            continue
+                        sig = signature(sh[a:e])
+                        if known is not None and among(sig, minima).sum() < max(least_equal(n, e - a), 2.0):
                             continue
-                        if sh is None:
-                            h = word_hashes(ws, memo)
-                            sh = shingle_hashes(h)
-                        part = sh[a : max(b - SHINGLE + 1, a + 1)]
-                        if len(part):
-                            rows.append((i, c, k, ws[max(a - step, 0) : b + step], len(part), signature(part).tolist()))
+                        rows.append((i, c, k, ws[max(a - step, 0) : b + step], e - a, sig.tolist()))
                 if len(rows) > 2000:
                     yield pd.DataFrame(rows, columns=["doc_id", "cls", "win", "words", "n", "sig"])
                     rows = []
@@ -173,16 +186,34 @@ def covered(item: list[str], passage: list[str]) -> set[int]:
     return out
 
 
+def bits(places) -> int:
+    return sum(1 << i for i in places)
+
+
 def repeated(item: list[str], rare: set[str], passages: list[list[str]]) -> tuple[float, float]:
-    """Share of an item's words, and of its names and numbers, that the best one or two passages repeat."""
-    places = [covered(item, p) for p in passages if sum(w in rare for w in set(p)) >= max(1, 0.1 * len(rare))]
-    best: set[int] = set()
-    places.sort(key=len, reverse=True)
+    """Share of an item's words, and of its names and numbers, that the best one or two passages repeat.
+
+    Names and numbers count over both passages together; an item without any has them all. A passage is looked at word
+    by word if the words it holds, in any order and with those of some other passage, are enough; both shares are 0
+    where no two passages hold enough.
+    """
+    named = bits(i for i, w in enumerate(item) if w in rare)
+    n, n_named = len(item), named.bit_count()
+
+    def enough(x: int) -> bool:
+        return x.bit_count() / n >= SHARE and (not named or (x & named).bit_count() / n_named >= RARE_SHARE)
+
+    held: dict[int, list[list[str]]] = {}
+    for p in {tuple(p): p for p in passages}.values():
+        have = set(p)
+        held.setdefault(bits(i for i, w in enumerate(item) if w in have), []).append(p)
+    places = [covered(item, p) for x, ps in held.items() if any(enough(x | y) for y in held) for p in ps]
+    best = 0
+    places = sorted(map(bits, places), key=int.bit_count, reverse=True)
     for i, x in enumerate(places[:8]):
         for y in places[i:8]:
-            best = max(best, x | y, key=len)
-    n_rare = sum(w in rare for w in item)
-    return len(best) / len(item), (sum(item[i] in rare for i in best) / n_rare if n_rare else 1.0)
+            best = max(best, x | y, key=lambda z: (enough(z), z.bit_count()))
+    return best.bit_count() / n, ((best & named).bit_count() / n_named if named else 1.0)
 
 
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -201,13 +232,12 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     classes = sorted(r.cls for r in index.select("cls").distinct().collect())
     if not classes:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, share double, rare_share double")
-    found = checkpointed(windows(docs, classes, telling_words(index)))
+    found = checkpointed(windows(docs, classes, first_look(index)))
     bands = found.select("doc_id", "cls", "win", F.col("n").alias("m"), F.posexplode("sig").alias("k", "v"))
     keys = index.select("item_id", "cls", "n", F.posexplode("sig").alias("k", "v"))
     if index.count() <= MAX_BROADCAST_ITEMS:
         keys = F.broadcast(keys)
-    # an item in a window of m shingles with containment c has Jaccard c n / (n + m - c n): so many minima agree
-    enough = F.lit(0.6 * HASHES * LEAST) * F.col("n") / (F.col("n") + F.col("m"))
+    enough = least_equal(F.col("n"), F.col("m"))
     hits = bands.join(keys, ["cls", "k", "v"]).groupBy("doc_id", "win", "cls", "item_id", "n", "m").agg(F.count("*").alias("equal")).where(F.col("equal") >= F.greatest(enough, F.lit(2.0)))
     pairs = hits.select("doc_id", "win", "cls", "item_id").join(found.select("doc_id", "win", "cls", "words"), ["doc_id", "win", "cls"]).groupBy("doc_id", "item_id").agg(F.collect_list("words").alias("passages"))
     whole = pairs.join(index.select("item_id", F.col("words").alias("item"), "rare"), "item_id")

@@ -197,6 +197,21 @@ def test_leak_edges(spark):
     assert K.leaks(docs, items.where("false")).count() == 0 and K.leaks(docs.where("false"), items).count() == 0
 
 
+def test_leaks_without_rare_words(spark):
+    q = "In spring the baker Rukclapex hid 703 orange buoys behind the chapel in Kernauzorruk for the price of a donkey"
+    sums = [f"A farmer sells {a} eggs on the first day and {b} on the second one how many eggs did the farmer sell in all" for a, b in ((4821, 77), (915, 3302), (64, 2718), (5150, 811), (1999, 36))]
+    items = spark.createDataFrame([*((i, q) for i in (1, 2, 3, 4)), *enumerate(sums, 11)], "item_id long, question string")
+    docs = spark.createDataFrame([(1, "noise " * 50 + q + " tail" * 50), (2, "noise " * 50 + sums[1] + " tail" * 50)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in K.leaks(docs, items).where(f"share >= {K.SHARE} and rare_share >= {K.RARE_SHARE}").collect()}
+    assert got == {(1, 1), (1, 2), (1, 3), (1, 4), (2, 12)}
+
+
+def test_names_count_over_both_passages():
+    item = [f"w{i}" for i in range(20)]
+    assert K.repeated(item, {"w0", "w1"}, [item[:5], ["x", *item[10:16]]]) == (11 / 20, 1.0)
+    assert K.repeated(item, set(), [item]) == (1.0, 1.0)
+
+
 # --- language
 
 
