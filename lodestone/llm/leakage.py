@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -190,6 +190,15 @@ def bits(places) -> int:
     return sum(1 << i for i in places)
 
 
+def widest(sets: Iterable[int]) -> list[int]:
+    """The sets that are not part of another one, each once: no pair of the others covers more than theirs."""
+    out: list[int] = []
+    for x in sorted(set(sets), key=int.bit_count, reverse=True):
+        if not any(x | y == y for y in out):
+            out.append(x)
+    return out
+
+
 def repeated(item: list[str], rare: set[str], passages: list[list[str]]) -> tuple[float, float]:
     """Share of an item's words, and of its names and numbers, that the best one or two passages repeat.
 
@@ -209,9 +218,9 @@ def repeated(item: list[str], rare: set[str], passages: list[list[str]]) -> tupl
         held.setdefault(bits(i for i, w in enumerate(item) if w in have), []).append(p)
     places = [covered(item, p) for x, ps in held.items() if any(enough(x | y) for y in held) for p in ps]
     best = 0
-    places = sorted(map(bits, places), key=int.bit_count, reverse=True)
-    for i, x in enumerate(places[:8]):
-        for y in places[i:8]:
+    places = widest(map(bits, places))
+    for i, x in enumerate(places):
+        for y in places[i:]:
             best = max(best, x | y, key=lambda z: (enough(z), z.bit_count()))
     return best.bit_count() / n, ((best & named).bit_count() / n_named if named else 1.0)
 

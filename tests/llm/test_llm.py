@@ -212,6 +212,11 @@ def test_names_count_over_both_passages():
     assert K.repeated(item, set(), [item]) == (1.0, 1.0)
 
 
+def test_other_part_behind_many_copies_of_one():
+    item = [f"w{i}" for i in range(30)]
+    assert K.repeated(item, set(), [*([f"x{i}", *item[:9]] for i in range(12)), item[20:28]]) == (17 / 30, 1.0)
+
+
 # --- language
 
 
