@@ -32,11 +32,46 @@ LATIN_M = (
 ).split()
 CYRILLIC_F = "вера ксения ксенія лидия лідія олена дарина злата анна мария марія ольга ирина ірина наталья наталія светлана світлана екатерина катерина елена оксана татьяна тетяна юлия юлія галина валентина людмила марина алина аліна софия софія".split()
 CYRILLIC_M = "роман мирон игорь ігор назар тарас богдан иван іван петр пётр петро александр олександр сергей сергій дмитрий дмитро андрей андрій владимир володимир михаил михайло николай микола павел павло алексей олексій артем артём виктор віктор максим олег юрий юрій остап".split()
+# Further given names; surrogates are drawn from the lists above only.
+MORE_F = (
+    "mary patricia jennifer linda elizabeth susan jessica karen lisa nancy betty margaret sandra ashley kimberly donna michelle carol amanda melissa deborah stephanie rebecca sharon cynthia kathleen amy angela shirley "
+    "brenda pamela nicole samantha catherine christine rachel carolyn janet heather diane julie joyce victoria kelly christina joan evelyn judith megan andrea cheryl jacqueline martha gloria teresa ann sara madison "
+    "frances kathryn janice jean abigail alexandra judy sofia denise marilyn amber danielle beverly charlotte natalie theresa diana brittany doris kayla alexis lori jane eleanor helen ruth dorothy olivia ella mia isla lucy "
+    "renate brigitte gisela karin birgit heike sabrina anja silke katrin martina claudia nicole susanne angelika gabriele johanna lieselotte greta frieda annika svenja "
+    "josefa dolores rosario mercedes concepción antonia manuela francisca beatriz rocío silvia paula raquel lorena nuria inés sofía valentina ximena guadalupe "
+    "nathalie valérie sylvie céline aurélie élodie amélie émilie hélène françoise brigitte martine véronique manon léa chantal monique "
+    "małgorzata krystyna joanna elżbieta halina grażyna bożena agata karolina beata dorota justyna aleksandra zuzanna hanna alicja kinga "
+    "giulia francesca chiara federica paola fatma zeynep ayşe leila layla maryam zainab khadija amina noor priyanka anjali deepa lakshmi sunita kavita ananya mei-ling xiaoli yan sakura yumi keiko haruka "
+    "ngozi amara adaeze chioma folake wanjiru astrid freja sigrid solveig kirsten anneke marieke femke oksana svitlana tetiana yulia ekaterina tatiana svetlana ludmila galina anastasia daria"
+).split()
+MORE_M = (
+    "william richard joseph charles christopher matthew anthony donald steven kenneth joshua kevin brian george timothy ronald edward jason jeffrey ryan jacob gary nicholas eric jonathan stephen larry justin scott brandon "
+    "benjamin samuel gregory alexander patrick raymond dennis jerry tyler aaron jose adam nathan henry douglas zachary kyle walter ethan jeremy harold keith christian roger noah gerald terry sean austin arthur lawrence jesse "
+    "dylan bryan joe jordan billy bruce albert willie gabriel logan alan juan wayne roy ralph randy eugene vincent russell elijah louis bobby philip johnny oliver leo theodore edgar simon martin tim tom mike steve fred harry jim "
+    "günter helmut gerhard manfred heinz horst werner uwe rainer matthias andreas thorsten torsten sebastian florian tobias markus lars sven jens holger friedrich heinrich "
+    "josé antonio manuel francisco luis fernando rafael ángel alejandro sergio alberto álvaro joaquín ramón enrique raúl rubén ignacio jesús eduardo ricardo roberto "
+    "jean philippe françois nicolas laurent olivier julien sébastien guillaume thierry pascal frédéric christophe étienne rené gérard yves "
+    "stanisław zbigniew jerzy tadeusz ryszard henryk mateusz jakub kacper bartosz wojciech grzegorz łukasz maciej kamil szymon "
+    "marco luca matteo giovanni giuseppe alessandro mohammed mohamed muhammad mustafa hassan hussein ibrahim khalid mehmet emre murat arjun rahul rajesh sanjay suresh vikram amit anil wei jun hao takashi kenta satoshi minh tuan "
+    "chinedu emeka kwame kwesi oluwaseun sipho thabo björn magnus erik nils anders jeroen pieter willem sergey dmytro dmitry alexei aleksei mikhail nikolai vladimir viktor andriy serhiy mykola oleksandr pavel yuri artem bohdan taras"
+).split()
+MORE_CYRILLIC_F = "александра алла анастасия анастасія антонина валерия валерія варвара василиса вероника віра надежда надія евгения євгенія евдокия елизавета єлизавета жанна зинаида зоя инна інна карина кира лариса любов маргарита марта нина ніна полина поліна раиса регина римма тамара ульяна эльвира яна соломія уляна христина богдана ганна катерина ярослава".split()
+MORE_CYRILLIC_M = "анатолий анатолій антон аркадий борис валентин валерий валерій вадим василий василь виталий віталій владислав всеволод вячеслав геннадий георгий глеб григорий григорій даниил данило денис евгений євген егор захар иннокентий илья ілля кирилл кирило константин костянтин лев леонид леонід матвей никита микита петр руслан савва семен семён станислав степан тимофей тимур федор фёдор филипп юхим ярослав яков".split()
+# Given names that are words too and count only with a capital letter.
+CASED = set("mark will grace rose bill frank jack hope faith joy art dean dale ruby ivy daisy lily pearl max drew chase grant miles ray april june may summer sky jean christian jordan austin logan terry scott tyler angela sara ella mia leo simon martin joe jim lars wei jun hao yan noor лев вера роман надежда любов надія віра".split())
+# Those of them that open English sentences; there they count only before the ending of a family name.
+OPENERS = set("mark will grace rose bill frank hope faith joy dean dale pearl max drew chase grant miles ray".split())
+# Family names of two and three letters, which are accepted after an initial.
+SHORT_FAMILY = set("li lee wu xu yu ma ho hu lu su ng le vu bui kim han oh cho roy fox cox ray orr ali ito ono ota abe rao das sen dey kaur gil paz rey rio rou roux lai lam lau lim lin liu mai tan tam tao teo tse wei yan yip yee fan fu gao guo hsu kay kok koh kwa pao poe pym rae uhl ott orth koc łoś цой ким пак кац хан лі лю чан югай".split())
+# Titles and phrases that announce a person, so that the given name need not be on a list.
+CUE_TITLES = "mr mrs ms dr prof sr sra mme mlle señor señora monsieur madame pan pani г-н г-жа господин госпожа пан пані".split()
+CUE_PHRASES = ["name is", "i am called", "ich heiße", "mein name ist", "me llamo", "nombre es", "je m'appelle", "mon nom est", "nazywam się", "меня зовут", "мене звати", "моє ім'я", "моё имя"]
+CUE = re.compile(rf"(?i:(?<!\w)(?:(?:{'|'.join(CUE_TITLES)})\.?|{'|'.join(CUE_PHRASES)}))[ \u00a0](?=[^\W\d_])")
 # Words that open sentences or stand beside a letter with a dot, and so are no family names.
 NOT_FAMILY = set(
     (
         "the this that these those when then there what where which who why how for from with without and but because once since during before after under outside inside as at in on of to by is was are "
-        "please remember forward ask call can could we you they she he it its our your his her not yes no ok done good here thanks regards contact send ship write build host ticket order street reviewed kind "
+        "please remember forward ask call can could we you they she he it its our your his her not yes no ok done good here hello hi hey dear hallo hola bonjour cześć привет привіт thanks regards contact send ship write build host ticket order street reviewed kind "
         "если когда почему после перед для под при это этот эта что как где кто мой моя мне меня вот готово запомни запиши проверь объясни нужна пишите перезвоните копию клиент живу отправьте спасибо "
         "якщо коли чому після перед для під при це цей ця що як де хто мій моя мене ось готово запам запиши перевір поясни потрібна пишіть зателефонуйте копію клієнт тепер надішліть дякую "
         "der die das den dem ein eine und aber wenn wann warum nach vor für mit bei wir sie was ist el la los las un una y pero cuando por para con le les des une et mais quand pour avec au à se przed po pod dla kiedy co czy"
@@ -47,7 +82,9 @@ FAMILY_END = re.compile(
     r"(?:son|sen|man|mann|er|ling|inger|ski|sky|ska|ov|ova|ev|eva|ko|ez|etto|ini|elli|adze|hurst|wick|way|ley|ton|ford|berg|stein|ander|ivka|elmi|var|ский|ская|цкий|ин|ина|ук|юк|ко|ич|ов|ова|ев|ева|дзе|мар|ян)(?:$|-)"
 )
 
-GENDER = {**dict.fromkeys(LATIN_F, "f"), **dict.fromkeys(LATIN_M, "m"), **dict.fromkeys(CYRILLIC_F, "f"), **dict.fromkeys(CYRILLIC_M, "m")}
+FIRST = {**dict.fromkeys(LATIN_F, "f"), **dict.fromkeys(LATIN_M, "m"), **dict.fromkeys(CYRILLIC_F, "f"), **dict.fromkeys(CYRILLIC_M, "m")}
+GENDER = {**{w: g for ws, g in ((MORE_F, "f"), (MORE_M, "m"), (MORE_CYRILLIC_F, "f"), (MORE_CYRILLIC_M, "m")) for w in ws}, **dict.fromkeys("grace rose hope faith joy ruby ivy daisy lily pearl".split(), "f"), **dict.fromkeys("mark bill frank jack dean dale max grant miles ray".split(), "m"), **FIRST}
+CASED -= {*FIRST}  # those keep counting in lower case
 
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 GAP = re.compile(r"[  \t]{1,2}|\n")
@@ -60,7 +97,8 @@ SEP = "[  .\\-‐‑]"
 EXT = r"(?: ?(?:ext\.?|x|доб\.?) ?\d{1,5})?"
 PHONE = re.compile(
     rf"(?<![\w+])(?:\+\d{{1,3}}{SEP}?\(?\d{{1,4}}\)?(?:{SEP}?\d{{2,5}}){{1,4}}"
-    rf"|00 \d{{2,3}}(?: \d{{2,5}}){{2,4}}"
+    rf"|00 \d{{2,3}}(?: \d{{2,5}}){{2,4}}|00[1-9](?=(?:[^\w]{{0,2}}\d){{8}})\d{{0,2}}(?:{SEP}?\(?\d{{1,5}}\)?){{2,5}}(?<=\d{{2}})"
+    rf"|0\d{{1,4}}[ \u00a0/]\d{{5,8}}|0\d{{2}}{SEP}\d{{3}}(?:{SEP}\d{{2}}){{2}}|0\d(?:{SEP}\d{{2}}){{4}}|0\d{{2,4}}{SEP}\d{{3,4}}{SEP}\d{{3,4}}"
     rf"|8{SEP}?\(\d{{3}}\){SEP}?\d{{3}}{SEP}?\d{{2}}{SEP}?\d{{2}}"
     rf"|\(\d{{3}}\){SEP}?\d{{3}}{SEP}?\d{{2}}{SEP}?\d{{2}}"
     rf"|\d{{3}}[.\-‐‑]\d{{3}}[.\-‐‑]\d{{4}}){EXT}(?![\w\-])"
@@ -95,6 +133,9 @@ def _pieces() -> ahocorasick.Automaton:
             kinds[w] = kinds.get(w, 0) | bit
 
     digits, letters = "0123456789", "abcdefghijklmnopqrstuvwxyzабвгдежзийклмнопрстуфхцчшщэюяіїєґё"
+    put((*(f"00{d}" for d in digits), *(f"{a}{x}{b}" for a in digits for b in digits for x in " \u00a0/")), 4)
+    put((f"{a}{w}{x}" for a in " \n\t\"'(«*>" for w in CUE_TITLES for x in ". \u00a0"), 16)
+    put(CUE_PHRASES, 16)
     put(("@", "at]", "at)", "at ]", "at )"), 1)
     put(ID_PIECES, 2)
     put([*(f"+{d}" for d in digits), *(f"({d}" for d in digits), "00 ", *(f"{a}{s}{b}" for a in digits for b in digits for s in ".-‐‑")], 4)
@@ -112,10 +153,10 @@ PIECES = _pieces()
 
 def _is_family(word: str, like: str) -> bool:
     low = word.lower()
-    if len(word) < 3 or low in NOT_FAMILY:
+    if len(word) < 2 or low in NOT_FAMILY:
         return False
     if like.islower():
-        return low == word and FAMILY_END.search(word) is not None
+        return len(word) > 2 and low == word and FAMILY_END.search(word) is not None
     return word[0].isupper()
 
 
@@ -136,22 +177,33 @@ def persons(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str
     def letter(j: int) -> bool:
         return len(toks[j][2]) == 1 and toks[j][2].isupper() and text[toks[j][1] : toks[j][1] + 1] == "."
 
+    cued = {m.end() for m in CUE.finditer(text)}
+
+    def given_at(j: int) -> bool:
+        w = toks[j][2]
+        if w.lower() in GENDER:
+            return not (w.islower() and w.lower() in CASED)
+        return toks[j][0] in cued and len(w) > 1 and w[0].isupper() and w.lower() not in NOT_FAMILY and w.lower() not in CUE_TITLES
+
     while i < n:
         a, _, w = toks[i]
         low = w.lower()
-        if low in GENDER and i + 1 < n:
+        if i + 1 < n and given_at(i):
             j = i + 1
             if letter(j) and GAP.fullmatch(gap(i)) and j + 1 < n and GAP.fullmatch(gap(j)[1:]):
                 ok, j = True, j + 1
             else:
                 ok = GAP.fullmatch(gap(i)) is not None
+                if ok and j + 1 < n and w[0].isupper() and toks[j][2].lower() in GENDER and gap(j) == " " and _is_family(bare(j + 1)[1], w) and toks[j + 1][2].lower() not in FIRST:
+                    j += 1
             if ok:
                 e, fam = bare(j)
-                if _is_family(fam, w) and fam.lower() not in GENDER:
+                opens = low in OPENERS and re.search(r"(?:^|[.!?:;…\n])[\"'»“(*\s\-]*$", text[max(a - 6, 0) : a]) is not None
+                if _is_family(fam, w) and fam.lower() not in FIRST and not (opens and not FAMILY_END.search(fam.lower())):
                     out.append((a, e, low, fam.lower()))
                     i = j + 1
                     continue
-        if i + 1 < n and gap(i) in (", ", ",\n") and w[0].isupper() and _is_family(w, w) and low not in GENDER:
+        if i + 1 < n and gap(i) in (", ", ",\n") and w[0].isupper() and _is_family(w, w) and low not in FIRST:
             nxt = toks[i + 1][2]
             if bare(i + 1)[1].lower() in GENDER and not nxt.islower():
                 e, given = bare(i + 1)
@@ -160,7 +212,7 @@ def persons(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str
                 out.append((a, e, given.lower(), low))
                 i += 2
                 continue
-            if letter(i + 1) and len(w) > 3:
+            if letter(i + 1) and (len(w) > 3 or low in SHORT_FAMILY):
                 out.append((a, toks[i + 1][1] + 1, nxt.lower() + ".", low))
                 i += 2
                 continue
@@ -169,7 +221,7 @@ def persons(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str
             if letter(j) and j + 1 < n and re.fullmatch(r"\.[  ]?", gap(j)):
                 j += 1
             e, fam = bare(j)
-            if len(fam) > 3 and _is_family(fam, "X") and not letter(j):
+            if (len(fam) > 3 or j > i + 1 or fam.lower() in SHORT_FAMILY) and _is_family(fam, "X") and not letter(j):
                 out.append((a, e, low + ".", fam.lower()))
                 i = j + 1
                 continue

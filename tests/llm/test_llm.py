@@ -62,6 +62,19 @@ def test_offset_is_recovered(spark, at):
     assert v.clock_ok and abs(v.d / 1e6 + 300) < 10
 
 
+def test_common_and_cued_names_and_national_phones():
+    def found(t):
+        return [(k, t[a:b]) for k, a, b, _ in V.mentions(t)]
+
+    for name in ("Mary Brown", "William Scott", "Mary Elizabeth Brown", "Anna Li", "J. Lee", "J. R. Ito", "Ганна Шевченко"):
+        assert found(f"Ask {name}, then go on.") == [("person", name)]
+    assert found("Hello, my name is Zorvik Quentell.") == found("Write to Dr. Zorvik Quentell.") == [("person", "Zorvik Quentell")]
+    assert found("You will mark later what was a joy or hope. Option B. Use it, or C. Run. Mark All as read. Grant Everyone a look.") == []
+    for phone in ("030 1234567", "067 123 45 67", "06 12 34 56 78", "004930123456"):
+        assert found(f"Call {phone} today") == [("phone", phone)]
+    assert found("On 01.02.2024 at 06:12 we had 0.25 and 007 of 0012345 rows") == []
+
+
 # --- truncation
 
 
