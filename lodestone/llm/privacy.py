@@ -252,7 +252,7 @@ def mentions(text: str) -> list[tuple[str, int, int, str]]:
             add("id_number", m.start(1), m.end(1), re.sub(r"[\W_]", "", m.group(1)).lower())
     if near & 4:
         for m in PHONE.finditer(text):
-            add("phone", m.start(), m.end(), re.sub(r"\D", "", re.sub(r"^00 ", "+", m.group())))
+            add("phone", m.start(), m.end(), re.sub(r"\D", "", re.sub(r"^00(?: |(?=[1-9]))", "+", m.group())))
     if near & 8 and ADDRESS_LIKE.search(text):
         for m in ADDRESS.finditer(text):
             add("address", m.start(), m.end(), re.sub(r"[\W_]+", " ", m.group()).strip().lower())
@@ -308,6 +308,58 @@ def _coined(r, syllables: list[str], n: int) -> str:
     return "".join(syllables[next(r) % len(syllables)] for _ in range(n))
 
 
+def _permuted(digits: str, key: bytes, *tweak: str) -> str:
+    """Another digit string of the same length: a keyed permutation (Feistel rounds over the two halves), so different
+    ones stay different and no check for collisions is needed."""
+    u = len(digits) // 2
+    a, b = digits[:u], digits[u:]
+    for i in range(10):
+        if a:
+            draw = hmac.new(key, "\x1f".join((*tweak, str(len(digits)), str(i), b)).encode(), hashlib.sha256).digest()
+            a = str((int(a) + int.from_bytes(draw[:16])) % 10 ** len(a)).zfill(len(a))
+        a, b = b, a
+    return a + b
+
+
+def area_digits(digits: str) -> int:
+    """How many first digits of a phone number stay: its country and area code, at least six others being changed."""
+    far = re.match(r"2[1-689]|3[578]|42|5[09]|6[789]|8[0578]|9[679]", digits) and len(digits) > 10
+    return max(0, min(3 if len(digits) <= 10 else 5 if far else 4, len(digits) - 6))
+
+
+UKRAINIAN = re.compile(r"[іїєґ]|\b(?:вул|вулиця|пров|провулок|просп|площа|набережна|буд|будинок|смт|м)\b")
+
+
+def _address(norm: str, r) -> str:
+    """An invented address in the form that the language of this one uses."""
+
+    def name(syllables=LATIN_SYLLABLES) -> str:
+        return _coined(r, syllables, 3).title()
+
+    n, flat = next(r) * 8 + next(r) % 8 + 1, next(r) % 200 + 1
+    if re.search(r"[а-яіїєґё]", norm):
+        return f"вул. {name(CYRILLIC_SYLLABLES)}а, буд. {n}, кв. {flat}" if UKRAINIAN.search(norm) else f"ул. {name(CYRILLIC_SYLLABLES)}ая, д. {n}, кв. {flat}"
+    if m := re.match(r"[^\W\d_]*?(gasse|straße|strasse|str|weg|platz|allee|ring|damm|ufer) \d", norm):
+        return f"{name()}{'straße' if m[1] == 'str' else m[1]} {n}"
+    if m := re.match(r"\d{1,4} (rue|avenue|boulevard|place|quai) (?!st\b|street)", norm):
+        return f"{n} {m[1]} {name()}"
+    if m := re.match(r"(calle|avenida|plaza|paseo) ", norm):
+        return f"{m[1].title()} {name()}, {n}"
+    if m := re.match(r"(ul|al|pl|os) ", norm):
+        return f"{m[1]}. {name()} {n}"
+    return f"{n} {name()} Street"
+
+
+def ranked(kind: str, s: str, rank: int) -> str:
+    """A replacement that is taken already, told apart by a hyphen and syllables, which none has by itself."""
+    more, cyrillic = "", re.search(r"[а-яіїєґё]", s) is not None
+    while rank:
+        more, rank = (CYRILLIC_SYLLABLES if cyrillic else LATIN_SYLLABLES)[rank % 16] + more, rank // 16
+    if kind == "email":
+        return s.replace("@", f"-{more}@")
+    return f"{s}-{more}" if kind == "person" else re.sub(r"([^\W\d_]{9,})", lambda m: f"{m[1]}-{more}", s, count=1)
+
+
 def surrogate(kind: str, norm: str, turn: int, key: bytes) -> str:
     """The replacement of an entity, in normal form; turn > 0 gives another one after a collision."""
     r = _stream(key, kind, norm, str(turn))
@@ -320,18 +372,21 @@ def surrogate(kind: str, norm: str, turn: int, key: bytes) -> str:
     if kind == "email":
         return f"{_coined(r, LATIN_SYLLABLES, 4)}{next(r) % 100}@example.org"
     if kind in ("phone", "id_number"):
-        # the first digits (country, area, series) stay in place as a format, the others are drawn
-        return "".join(str(next(r) % 10) if c.isdigit() else c.upper() for c in norm)
-    if re.search(r"[а-яіїєґё]", norm):
-        return f"ул. {_coined(r, CYRILLIC_SYLLABLES, 3).title()}ая, д. {next(r) % 200 + 1}, кв. {next(r) % 200 + 1}"
-    return f"{next(r) * 8 + next(r) % 8 + 1} {_coined(r, LATIN_SYLLABLES, 3).title()} Street"
+        # letters stay, and of a phone number its country and area code; the other digits are permuted
+        digits = "".join(str(int(c)) for c in norm if c.isdecimal())
+        fixed = area_digits(digits) if kind == "phone" else 0
+        new = iter(digits[:fixed] + _permuted(digits[fixed:], key, kind, digits[:fixed]))
+        return "".join(next(new) if c.isdecimal() else c.upper() for c in norm)
+    return _address(norm, r)
 
 
 def shaped(surface: str, kind: str, s: str) -> str:
     """A replacement in the form of the text it stands for: case, order, initials, separators."""
     if kind in ("phone", "id_number"):
-        digits = iter(c for c in s if c.isdigit())
-        return "".join(next(digits, "0") if c.isdigit() else c for c in surface)
+        digits = [c for c in s if c.isdecimal()]
+        # 00 stands for the plus sign, which the normal form leaves out
+        new = iter(["0", "0"] * (sum(c.isdecimal() for c in surface) == len(digits) + 2) + digits)
+        return "".join(next(new, "0") if c.isdecimal() else c for c in surface)
     if kind == "person":
         given, _, fam = s.partition(" ")
         comma = re.match(r"[^\W\d_\-]+(?:-[^\W\d_]+)*, ", surface)
@@ -341,29 +396,39 @@ def shaped(surface: str, kind: str, s: str) -> str:
     return s.upper() if surface.isupper() else s.lower() if surface.islower() and kind == "person" else s
 
 
-def _surrogates(key: bytes, turn_col: bool):
+def seen_as(kind: str, s: str) -> str:
+    """What is left of a replacement in its shortest form: of a person the initial and family name."""
+    return f"{s[0]}. {s.partition(' ')[2]}" if kind == "person" else s
+
+
+def _surrogates(key: bytes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
-            turns = d["turn"] if turn_col else [0] * len(d)
-            yield d[["kind", "norm"]].assign(s=[surrogate(k, n, int(t), key) for k, n, t in zip(d["kind"], d["norm"], turns, strict=True)])
+            s = [surrogate(k, n, int(t), key) for k, n, t in zip(d["kind"], d["norm"], d["turn"], strict=True)]
+            yield d[["kind", "norm", "turn"]].assign(s=s, seen=[seen_as(k, x) for k, x in zip(d["kind"], s, strict=True)])
 
     return run
 
 
+def _ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for d in batches:
+        yield d[["kind", "norm"]].assign(s=[ranked(k, s, int(r)) if r else s for k, s, r in zip(d["kind"], d["s"], d["r"], strict=True)])
+
+
 def surrogates(found: DataFrame, key: str) -> DataFrame:
-    """kind, norm, s: one replacement per distinct entity, distinct within its kind.
+    """kind, norm, s: one replacement per distinct entity, distinct within its kind in every form that shaped() gives it.
 
-    Entities that drew one replacement are ordered by their normal form; all but the first draw again with their rank,
-    and what still collides after that gets its rank in writing.
+    Numbers are permuted and never meet. Of other entities that drew one replacement, all but the first by normal form
+    draw again with their rank, and what still collides after that gets its rank in syllables.
     """
-    k = key.encode()
-    ents = found.select(F.explode("m").alias("x")).select("x.kind", "x.norm").distinct()
-    w = Window.partitionBy("kind", "s").orderBy("norm")
-    one = ents.mapInPandas(_surrogates(k, False), "kind string, norm string, s string").withColumn("turn", F.row_number().over(w) - 1)
-    again = one.where("turn > 0").select("kind", "norm", "turn").mapInPandas(_surrogates(k, True), "kind string, norm string, s string").withColumn("turn", F.lit(1))
-    both = one.where("turn = 0").select("kind", "norm", "s", "turn").unionByName(again.select("kind", "norm", "s", "turn"))
-    rank = F.row_number().over(Window.partitionBy("kind", "s").orderBy("turn", "norm")) - 1
-    return both.withColumn("r", rank).select("kind", "norm", F.when(F.col("r") > 0, F.concat("s", F.lit("-"), F.col("r").cast("string"))).otherwise(F.col("s")).alias("s"))
+    drawn = "kind string, norm string, turn int, s string, seen string"
+    draw = _surrogates(key.encode())
+    ents = found.select(F.explode("m").alias("x")).select("x.kind", "x.norm").distinct().withColumn("turn", F.lit(0))
+    one = ents.mapInPandas(draw, drawn).withColumn("turn", F.row_number().over(Window.partitionBy("kind", "seen").orderBy("norm")) - 1)
+    again = one.where("turn > 0").select("kind", "norm", "turn").mapInPandas(draw, drawn).withColumn("turn", F.lit(1))
+    rank = F.row_number().over(Window.partitionBy("kind", "seen").orderBy("turn", "norm")) - 1
+    both = one.where("turn = 0").unionByName(again).withColumn("r", rank)
+    return both.select("kind", "norm", "s", "r").mapInPandas(_ranked, "kind string, norm string, s string")
 
 
 def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -1,6 +1,7 @@
 """The subpackage's operators: brute force, round trips, held-out accuracy, edge cases."""
 
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -154,6 +155,22 @@ def test_surrogates_keep_entities_apart_and_together(spark):
     assert V.anonymised(df.where("false"), "k").count() == 0
 
 
+def test_distinct_entities_stay_distinct_in_their_form(spark):
+    rows = [("t", str(i), f"passport {i * 7:05d}. Mail a{i}@b.org, call +49 30 {1000000 + i * 13}, or A. Brask{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}sen.") for i in range(6000)]
+    got = [r.surrogate_text for r in V.anonymised(spark.createDataFrame(rows, "rec_table string, rec_id string, text string"), "k").collect()]
+    for form in (r"passport (\d{5})\.", r"Mail (\S+),", r"call (\+49 30 \d{7}),", r", or (\w\. \S+)\.$"):
+        assert len({re.search(form, t)[1] for t in got}) == 6000
+    assert len({V.ranked("address", "12 Bardenfal Street", i) for i in range(1, 600)}) == 599
+
+
+def test_addresses_keep_the_form_of_their_language():
+    forms = {"Hauptstraße 5": r"\w+straße \d+", "12 rue de la Paix": r"\d+ rue \w+", "Calle Mayor, 3": r"Calle \w+, \d+", "ul. Długa 7": r"ul\. \w+ \d+", "вул. Садова, буд. 5": r"вул\. \w+, буд\. \d+, кв\. \d+", "ул. Садовая, д. 5": r"ул\. \w+, д\. \d+, кв\. \d+", "12 Mill Lane": r"\d+ \w+ Street"}
+    for a, form in forms.items():
+        (kind, _, _, norm), = V.mentions(f"Send it to {a} today")
+        assert kind == "address" and re.fullmatch(form, V.surrogate(kind, norm, 0, b"k")), a
+    assert V.shaped("0049 30 1234567", "phone", V.surrogate("phone", "49301234567", 0, b"k")).startswith("0049 30 ")
+
+
 # --- packing
 
 
