@@ -114,6 +114,28 @@ def verdicts(df: DataFrame) -> DataFrame:
     return s.select("session_id", d.alias("d"), F.coalesce("clock_ok", F.lit(True)).alias("clock_ok"), (F.col("n") > 0).alias("has_turns"), why.alias("reason"))
 
 
+def slotted(m: DataFrame) -> DataFrame:
+    """m with slot: the turn number, and for a message without one in a numbered conversation the turn it stands behind.
+
+    That is the last turn up to which all numbered messages are earlier by corrected time. One that is earlier than all
+    numbered messages stands before the first turn, any other behind it, so both ends are those that verdicts() sees.
+    Without a time it has no slot. Turns are summed up in blocks of 512 with one row a block.
+    """
+    loose = F.col("has_turns") & F.col("turn").isNull()
+    t = m.where("turn is not null and role < 3 and at is not null").groupBy("session_id", "turn").agg(F.min("at").alias("lo"), F.max("at").alias("hi")).withColumn("k", F.floor(F.col("turn") / BLOCK))
+    t = t.withColumn("run", F.max("hi").over(Window.partitionBy("session_id", "k").orderBy("turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    blocks = t.groupBy("session_id", "k").agg(F.max("hi").alias("top"), F.min("lo").alias("low"), F.min("turn").alias("first"), F.max("turn").alias("last"), F.collect_list(F.struct("turn", "run")).alias("runs"))
+    before = Window.partitionBy("session_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("prev", F.max("top").over(before)).withColumn("prev_last", F.max("last").over(before))
+    heads = blocks.groupBy("session_id").agg(F.collect_list(F.struct("k", "prev")).alias("heads"), F.min("low").alias("least"), F.min("first").alias("start"))
+    x = m.where(loose).join(heads, "session_id", "left")
+    x = x.withColumn("k", F.array_max(F.transform(F.filter("heads", lambda b: b.prev.isNull() | (b.prev < F.col("at"))), lambda b: b.k)))
+    x = x.join(blocks.select("session_id", "k", "runs", "prev", "prev_last"), ["session_id", "k"], "left")
+    behind = F.array_max(F.transform(F.filter("runs", lambda r: F.greatest(r.run, F.col("prev")) < F.col("at")), lambda r: r.turn))
+    slot = F.when(F.col("at").isNotNull(), F.coalesce(behind, "prev_last", F.when(F.col("at") < F.col("least"), F.col("start") - 1).otherwise(F.col("start"))))
+    return m.where(~loose).withColumn("slot", F.col("turn")).unionByName(x.withColumn("slot", slot).select(*m.columns, "slot"))
+
+
 def conversations(df: DataFrame) -> DataFrame:
     """Kept conversations in order: session_id, part, turns (array of pos, role, text, at), in parts of 512 turns.
 
@@ -124,11 +146,11 @@ def conversations(df: DataFrame) -> DataFrame:
     kept = verdicts(df).where("reason is null").select("session_id", "d", "has_turns")
     m = prepared(df).where("shown and role > 0").dropDuplicates(["session_id", "id", "turn", "t"]).join(kept, "session_id")
     at = F.when(F.col("role") == 2, F.col("t") - F.col("d")).otherwise(F.col("t"))
-    m = m.withColumn("at", at).withColumn("key", F.when(F.col("has_turns"), F.col("turn")).otherwise(F.floor(F.col("at") / DAY_US)))
+    m = slotted(m.withColumn("at", at)).withColumn("key", F.when(F.col("has_turns"), F.col("slot")).otherwise(F.floor(F.col("at") / DAY_US)))
     m = m.withColumn("k", F.when(F.col("has_turns"), F.floor(F.col("key") / BLOCK)).otherwise(F.col("key")))
     ahead = m.groupBy("session_id", "k").agg(F.count("*").alias("c"))
     ahead = ahead.select("session_id", "k", F.coalesce(F.sum("c").over(Window.partitionBy("session_id").orderBy(F.col("k").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n"))
-    w = Window.partitionBy("session_id", "k").orderBy(F.when(F.col("has_turns"), F.col("turn")).asc_nulls_last(), F.col("at").asc_nulls_last(), "role", "id")
+    w = Window.partitionBy("session_id", "k").orderBy(F.when(F.col("has_turns"), F.col("slot")).asc_nulls_last(), F.col("has_turns") & F.col("turn").isNull(), F.col("at").asc_nulls_last(), "role", "id")
     placed = m.withColumn("i", F.row_number().over(w)).join(ahead.withColumnRenamed("k", "k2").withColumnRenamed("session_id", "s2"), (F.col("session_id") == F.col("s2")) & F.col("k").eqNullSafe(F.col("k2")))
     pos = (F.col("i") + F.col("n")).cast("bigint")
     turn = F.struct(pos.alias("pos"), names.alias("role"), F.col("content").alias("text"), F.timestamp_micros("at").alias("at"))

@@ -75,6 +75,22 @@ def test_common_and_cued_names_and_national_phones():
         assert found(f"Call {phone} today") == [("phone", phone)]
     assert found("On 01.02.2024 at 06:12 we had 0.25 and 007 of 0012345 rows") == []
 
+def test_messages_without_turn_stand_by_their_time(spark, at):
+    T = '{"turn": %d}'
+    rows = [("0", "s", "user", 1, "first", "{"), ("x", "s", "user", 25, "between", None), ("z", "s", "ai", 9000, "last", None)]
+    rows += [(f"n{i}", "s", "ai" if i % 2 else "user", 10 * i, f"n{i}", T % i) for i in range(1, 601)]
+    rows += [("y", "s", "user", 5555, "late", None)]
+    # the numbered times fall back: 12 is later than one of them, so it does not come first
+    rows += [("a", "b", "user", 20, "one", T % 1), ("b", "b", "ai", 10, "two", T % 2), ("c", "b", "user", 30, "three", T % 3), ("d", "b", "ai", 40, "four", T % 4), ("e", "b", "system", 35, "note", None)]
+    got = {}
+    for r in sorted(C.conversations(messages(spark, at, rows)).collect(), key=lambda r: r.part):
+        got.setdefault(r.session_id, []).extend((t.pos, t.text) for t in r.turns)
+    want = [f"n{i}" for i in range(1, 601)]
+    want = ["first", *want[:2], "between", *want[2:555], "late", *want[555:], "last"]
+    assert got["s"] == list(enumerate(want, 1))
+    assert [t for _, t in got["b"]] == ["one", "two", "three", "note", "four"]
+
+
 
 # --- truncation
 
