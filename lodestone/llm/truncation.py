@@ -81,13 +81,18 @@ def fit_censored(n: float, s1: float, s2: float, m: float, limit: float) -> tupl
 def _posteriors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for d in batches:
         post = []
-        for n, s1, s2, m, at, length in zip(d["n"], d["s1"], d["s2"], d["m"], d["c"], d["len"], strict=True):
-            if n < 10:
+        for n, s1, s2, m, at, length, mean, var in zip(d["n"], d["s1"], d["s2"], d["m"], d["c"], d["len"], d["mean"], d["var"], strict=True):
+            few = n < 10
+            if few and at < 0.5 * m:
+                # a length that most of the longer texts pass is no limit
                 post.append(0.0)
                 continue
+            if few:
+                # too few lengths below the limit to fit: the spread over all sources counts as ten more
+                n, s1, s2 = n + 10, s1 + 10 * mean, s2 + 10 * (mean * mean + max(var, 0.25))
             mu, sd = fit_censored(n, s1, s2, m, length)
             expected = (n + m) * (_cdf((math.log(length + 0.5) - mu) / sd) - _cdf((math.log(length - 0.5) - mu) / sd))
-            post.append(max(0.0, 1 - expected / at))
+            post.append(min(max(0.0, 1 - expected / at), 0.9 if few else 1.0))
         yield pd.DataFrame({"rec_table": d["rec_table"], "source": d["source"], "measure": d["measure"], "len": d["len"], "post": post})
 
 
@@ -102,7 +107,9 @@ def limits(feat: DataFrame) -> DataFrame:
         "*", (near / (2.0 * NEAR)).alias("near"), F.sum("c").over(below).alias("n"), F.sum(F.col("c") * lg).over(below).alias("s1"), F.sum(F.col("c") * lg * lg).over(below).alias("s2"),
         F.sum("c").over(w.rowsBetween(Window.currentRow, Window.unboundedFollowing)).alias("m"),
     )
-    some = h.where((F.col("c") >= MIN_AT_LIMIT) & (F.col("c") > EXCESS * F.col("near") + 3) & (F.col("len") > 1) & F.col("n").isNotNull())
+    pooled = h.where("len > 1").groupBy("rec_table", "measure").agg((F.sum(F.col("c") * lg) / F.sum("c")).alias("mean"), (F.sum(F.col("c") * lg * lg) / F.sum("c")).alias("sq"))
+    pooled = pooled.select("rec_table", "measure", "mean", (F.col("sq") - F.col("mean") * F.col("mean")).alias("var"))
+    some = h.where((F.col("c") >= MIN_AT_LIMIT) & (F.col("c") > EXCESS * F.col("near") + 3) & (F.col("len") > 1)).fillna(0, ["n", "s1", "s2"]).join(F.broadcast(pooled), ["rec_table", "measure"])
     return some.mapInPandas(_posteriors, "rec_table string, source string, measure string, len long, post double").where("post > 0.5")
 
 
@@ -133,12 +140,20 @@ def features(texts: DataFrame) -> DataFrame:
     b = texts.withColumn("body_text", F.regexp_replace("text", CUT_MARK, "")).withColumn("tail", F.substring("body_text", -160, 160))
     # code marks are counted from the start of the text, as its last part may begin inside a pair
     count = lambda p: F.size(F.regexp_extract_all(F.regexp_replace("body_text", r"[:;]-?[()]", ""), F.lit(p), F.lit(0)))
+    # brackets and quotes without their partner, anywhere in the text; code and emoticons hold such marks by themselves
+    bare = F.regexp_replace("body_text", r"(?s)```.*?```|`[^`\n]*`|[:;]-?[()]", "")
+    for _ in range(3):
+        bare = F.regexp_replace(bare, r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}|«[^«»]*»|„[^„“”]*[“”]", "")
+    line = F.substring_index("body_text", "\n", -1)
     opened = (
         F.col("tail").rlike(r"[(\[{«„][^)\]}»“”]*$") & ~F.col("tail").rlike(r"[:;]-?[(]$")
         | F.col("tail").rlike(r"<(?:a|b|i|u|p|em|strong|code|pre|li|td|div|span)>[^<]*$|<[a-z/]{0,10}$")
         | F.col("tail").rlike(r"\n\|[^\n]*[^|\n\s]\s*$")
         | F.col("tail").rlike(r"(?:^|[\s.!?,;:])&(?:#\d*|[a-z]{1,7})$")
-        | ((count("```") % 2 == 1) | (count("(?<!`)`(?!`)") % 2 == 1)) & F.col("tail").rlike(r"`[^`]*$")
+        | (F.length("body_text") > 160) & bare.rlike(r"[(\[{«„]") & ~F.col("tail").rlike(END_MARK) & ~F.col("tail").rlike(r"[:;]-?[(]$")
+        | F.col("body_text").contains("\n|") & (F.length(line) >= 160) & line.rlike(r"^\|.*[^|\s]\s*$")
+        | (count("```") % 2 == 1)
+        | (count("(?<!`)`(?!`)") % 2 == 1) & F.col("tail").rlike(r"`[^`]*$")
     )
     last = F.substring("tail", -1, 1)
     kind = (
@@ -220,8 +235,7 @@ def scored(sessions: DataFrame, reports: DataFrame) -> DataFrame:
     """rec_table, rec_id, source, posterior for every text that prints something.
 
     Repeated rows count once. Null sources are one source of their own. A row without id is left out. Empty tables give
-    no rows; further columns are ignored; texts of any length are read whole for the counts, and endings need only the
-    last 160 characters.
+    no rows; further columns are ignored; texts of any length are read whole, for the counts and for what they leave open.
     """
     texts = texts_of(sessions, reports)
     # all three feed several sums each; no text is carried on

@@ -139,6 +139,22 @@ def test_complete_texts_of_the_limits_length_are_no_cases(spark):
     assert len(got & cut) / len(cut) > 0.97 and not [x for x in got if x[0] == "e" and x != "entity"]
     assert {"entity", "and"} <= got and "code" not in got
 
+def test_what_a_long_text_leaves_open(spark):
+    code = "Run this:\n```\n" + "print(step)\n" * 30
+    texts = {
+        "fence": code + "print(step)", "whole": code + "```", "paren": "See (as of the [last] report " + "and the table of the day " * 10 + "with size [3]", "closed": "See (as of " + "and the day " * 20 + ") with size [3]",
+        "quote": "He said «we go " + "and then we go " * 15 + "on", "row": "a\n|b|" + "c d " * 60 + "e",
+    }
+    df = spark.createDataFrame([("sessions", k, "x", t, len(t), len(t)) for k, t in texts.items()], "rec_table string, rec_id string, source string, text string, chars long, bytes long")
+    assert {r.rec_id for r in X.features(df).where("kind = 'open'").collect()} == {"fence", "paren", "quote", "row"}
+
+
+def test_a_source_that_cuts_nearly_every_text_has_a_limit(spark):
+    rows = [("cut", 400)] * 60 + [("cut", 90)] * 2 + [("free", 50 + 17 * i % 900) for i in range(200)]
+    df = spark.createDataFrame([("sessions", s, n, 0, n) for s, n in rows], "rec_table string, source string, chars long, body long, bytes long")
+    assert {(r.source, r.measure, r.len) for r in X.limits(df).collect()} == {("cut", "chars", 400), ("cut", "bytes", 400)}
+
+
 
 # --- privacy
 
