@@ -2,8 +2,8 @@
 
 A word that the samples know scores its log frequency per language. For another word the longest n-grams that the
 samples know decide, from five characters down to one. The model is fitted on the checked samples (at most SAMPLE_ROWS
-rows, lowest hash first; the table is fixed at 280) and on at most SAMPLE_DOCS labelled documents, in the forms that texts appear in: as written, without accents, and
-for Cyrillic in Latin letters. Documents are scored where they lie, in one pass without a shuffle.
+rows, lowest hash first; the table is fixed at 280) and on at most SAMPLE_DOCS labelled documents, in the forms that
+texts appear in: as written, without accents, and for Cyrillic in Latin letters. Documents are scored where they lie, in one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -51,7 +51,9 @@ MASK = re.compile(r"`[^`]*`|https?://\S+|www\.\S+|\S+@\S+\.\S+|<[^<>]{1,80}>|\{[
 MASK_SIGNS = re.compile(r"[`/_:|@{<\\]|\.\w")
 ASIDE = re.compile(r"[(\[][^()\[\]]{0,80}[)\]]")
 CODE_LINE = re.compile(r"\s*(?:(?:SELECT|INSERT|UPDATE|DELETE|FROM|WHERE)\b|(?:def|class|import|return|curl|git|pip|docker|npm|sudo)\s|from \w+ import|for \w+ in |if __|\$ |>>>|[\d\-:.,TZ ]*\[?(?:INFO|WARN|WARNING|ERROR|DEBUG|TRACE)\b)")
+CODE_LINES = re.compile(rf"^{CODE_LINE.pattern}", re.M)
 CODE_SIGNS = re.compile(r"[=;{}]|->")
+ENDS = (".", "!", "?", "…")
 LEAD = re.compile(r"\s*(?:(?://|#+|\*|>|--)\s+)?")
 MIXED = re.compile(r"[a-z][а-яіїєґ]|[а-яіїєґ][a-z]")
 # Letters that look alike in the two scripts.
@@ -70,12 +72,20 @@ def _fold_table() -> dict[int, str | None]:
     return t | {ord("ß"): "ss", ord("ł"): "l", ord("Ł"): "L", ord("ø"): "o", ord("æ"): "ae", ord("œ"): "oe", ord("đ"): "d", ord("ё"): "е", ord("Ё"): "Е"}
 
 
-FOLD = _fold_table()
+_TABLE = _fold_table()
+RESIZED = [(chr(c), x or "") for c, x in _TABLE.items() if len(x or "") != 1]  # letters that become none or two
+PLAIN = np.arange(0x110000, dtype=np.uint32)
+PLAIN[[c for c, x in _TABLE.items() if len(x or "") == 1]] = [ord(x) for x in _TABLE.values() if len(x or "") == 1]
 
 
 def fold(text: str) -> str:
     """Lower case, without accents on Latin letters and without invisible characters."""
-    return text.translate(FOLD).lower()
+    if text.isascii():
+        return text.lower()
+    for c, x in RESIZED:
+        if c in text:
+            text = text.replace(c, x)
+    return PLAIN[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].tobytes().decode("utf-32-le", "surrogatepass").lower()
 
 
 def latin(text: str, lang: str) -> str:
@@ -83,18 +93,25 @@ def latin(text: str, lang: str) -> str:
     return "".join(table.get(c, c) for c in text)
 
 
+def counted(rows: list[tuple[str, str]]) -> dict[tuple[str, str], int]:
+    """How often each word occurs in texts of each language, Cyrillic ones also in Latin letters."""
+    out: Counter = Counter()
+    for lang, text in rows:
+        if lang in LANGS and text:
+            t = fold(unicodedata.normalize("NFC", text))
+            out.update((lang, w) for w in WORD.findall(t))
+            if lang in ("ru", "uk"):
+                out.update((lang, w) for w in WORD.findall(latin(t, lang)))
+    return out
+
+
 class Model:
-    """Per-language log frequencies of words and n-grams."""
+    """Per-language log frequencies of words and n-grams, from counts of words."""
 
-    def __init__(self, rows: list[tuple[str, str]]):
+    def __init__(self, counts_of: dict[tuple[str, str], int]):
         words = [Counter() for _ in LANGS]
-        for lang, text in rows:
-            if lang in LANGS and text:
-                k = LANGS.index(lang)
-                t = fold(unicodedata.normalize("NFC", text))
-                words[k].update(WORD.findall(t))
-                if lang in ("ru", "uk"):
-                    words[k].update(WORD.findall(latin(t, lang)))
+        for (lang, w), n in counts_of.items():
+            words[LANGS.index(lang)][w] += n
         vocab = sorted(set().union(*words))
         self.ids = {w: i for i, w in enumerate(vocab)}
         total = np.array([max(sum(c.values()), 1) for c in words], float)
@@ -119,7 +136,7 @@ class Model:
 
     def unknown(self, word: str) -> np.ndarray:
         """Mean score of the longest known n-grams; each place backs off on its own. Zero where nothing is known."""
-        w, total, n_used, i = f"^{word[:40]}$", np.zeros(len(LANGS), np.float32), 0, 0
+        w, total, n_used, i = f"^{word}$", np.zeros(len(LANGS), np.float32), 0, 0
         while i < len(w):
             for n in range(min(LONGEST, len(w) - i), 0, -1):
                 v = self.grams.get(w[i : i + n])
@@ -144,8 +161,10 @@ class Scorer:
         self.table = np.vstack([centred, np.zeros((1024, len(LANGS)), np.float32)]) if self.known else np.zeros((1024, len(LANGS)), np.float32)
 
     def rows(self, words: list[str]) -> np.ndarray:
+        """Scores of each word; every distinct one is looked up once."""
+        at, distinct = pd.factorize(np.array(words, dtype=object))
         ids, out = self.ids, []
-        for w in words:
+        for w in distinct:
             i = ids.get(w)
             if i is None:
                 i = ids[w] = len(ids)
@@ -153,7 +172,7 @@ class Scorer:
                     self.table = np.vstack([self.table, np.zeros_like(self.table)])
                 self.table[i] = self.model.unknown(w)
             out.append(i)
-        return np.array(out, np.int64)
+        return self.table[np.array(out, np.int64)[at]]
 
 
 def _one_script(m: re.Match) -> str:
@@ -169,53 +188,76 @@ def sentences(text: str) -> list[list[str]]:
     """
     if "```" in text:
         text = FENCE.sub("\n", text)
+    signs, asides, code, equal = MASK_SIGNS.search(text), "(" in text or "[" in text, CODE_LINES.search(text), CODE_SIGNS.search(text)
     lines: list[str] = []
+    open_end = False  # the line before has no end mark
     for line in text.split("\n"):
-        if MASK_SIGNS.search(line):
+        if signs and MASK_SIGNS.search(line):
             line = MASK.sub(" ", line)
-        if "(" in line or "[" in line:
+        if asides and ("(" in line or "[" in line):
             line = ASIDE.sub(" ", line)
-        ends = line.rstrip()[-1:] in (".", "!", "?", "…")
-        if CODE_LINE.match(line) or not ends and CODE_SIGNS.search(line):
+        if code and CODE_LINE.match(line) or equal and line.rstrip()[-1:] not in ENDS and CODE_SIGNS.search(line):
             line = ""
         body = LEAD.sub("", line, count=1)
-        if lines and lines[-1] and body[:1].islower() and lines[-1].rstrip()[-1:] not in (".", "!", "?", "…", ":"):
+        if open_end and body[:1].islower():
             lines[-1] += " " + body
         else:
             lines.append(body)
+        end = lines[-1].rstrip()[-1:]
+        open_end = lines[-1] != "" and end not in ENDS and end != ":"
     low = fold("\n".join(lines))
-    if MIXED.search(low):
+    if not low.isascii() and MIXED.search(low):
         low = WORD.sub(_one_script, low)
-    return [w for w in (WORD.findall(s) for s in SENTENCE.split(low)) if w]
+    return [w for w in map(WORD.findall, SENTENCE.split(low)) if w]
+
+
+GROUP_WORDS = 200_000  # words of the texts that are scored together; a longer text is one group
 
 
 def judged(texts: list[str | None], scorer: Scorer) -> Iterator[tuple[list[tuple[str, float, int]], list[tuple[str, float, str]]]]:
     """Per text: languages with confidence and words, main one first; and runs of sentences with language and confidence."""
+    group: list[list[list[str]]] = []
+    n = 0
     for text in texts:
-        sents = sentences(text) if text else []
+        group.append(sentences(text) if text else [])
+        n += sum(map(len, group[-1]))
+        if n >= GROUP_WORDS:
+            yield from _judged_group(group, scorer)
+            group, n = [], 0
+    yield from _judged_group(group, scorer)
+
+
+def _judged_group(group: list[list[list[str]]], scorer: Scorer):
+    if len(scorer.ids) > scorer.known + MEMO:
+        scorer.reset()
+    sizes_all = np.array([len(w) for sents in group for w in sents], np.int64)
+    if len(sizes_all):
+        starts = np.concatenate([[0], np.cumsum(sizes_all)[:-1]])
+        score_all = np.add.reduceat(scorer.rows([w for sents in group for ws in sents for w in ws]), starts, axis=0)
+        order = np.partition(score_all, len(LANGS) - 2, axis=1)
+        best_all = score_all.argmax(axis=1)
+        whole_all = (sizes_all >= MIN_WORDS) & ((order[:, -1] - order[:, -2]) / sizes_all > MIN_MARGIN)
+    z = 0
+    for sents in group:
         if not sents:
             yield [], []
             continue
-        if len(scorer.ids) > scorer.known + MEMO:
-            scorer.reset()
-        flat = scorer.rows([w for s in sents for w in s])
-        sizes = np.array([len(s) for s in sents])
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        score = np.add.reduceat(scorer.table[flat], starts, axis=0)
-        order = np.sort(score, axis=1)
-        margin = (order[:, -1] - order[:, -2]) / sizes
-        best = score.argmax(axis=1)
-        whole = (sizes >= MIN_WORDS) & (margin > MIN_MARGIN)
-        weight = np.bincount(best[whole], weights=sizes[whole], minlength=len(LANGS)) if whole.any() else np.zeros(len(LANGS))
-        main = int(weight.argmax()) if weight.any() else int(score.sum(axis=0).argmax())
-        # a sentence that is no clear case, or of a language with too few words, goes with the main language
+        a, z = z, z + len(sents)
+        score, sizes, best, whole = score_all[a:z], sizes_all[a:z], best_all[a:z], whole_all[a:z]
+        weight = np.bincount(best[whole], weights=sizes[whole], minlength=len(LANGS))
+        clear = weight.any()
+        main = int(weight.argmax()) if clear else int(score.sum(axis=0).argmax())
+        others = [int(k) for k in np.argsort(-weight) if k != main and weight[k] >= MIN_OTHER]
+        if not others:
+            # a sentence that is no clear case, or of a language with too few words, goes with the main language
+            words = int(sizes.sum())
+            one = (LANGS[main], _confidence(score.sum(axis=0), main, words), words)
+            yield [one], [(*one, len(sents))]
+            continue
         lang = np.where(whole & (weight >= MIN_OTHER)[best], best, main)
-        by = score.sum(axis=0) if not weight.any() else score[lang == main].sum(axis=0)
-        own = sizes[lang == main].sum() or sizes.sum()
-        out = [(LANGS[main], _confidence(by, main, own), int(sizes[lang == main].sum()))]
-        for k in np.argsort(-weight):
-            if k != main and weight[k] >= MIN_OTHER:
-                out.append((LANGS[k], _confidence(score[lang == k].sum(axis=0), int(k), sizes[lang == k].sum()), int(weight[k])))
+        own = lang == main
+        out = [(LANGS[main], _confidence(score[own].sum(axis=0), main, sizes[own].sum() or sizes.sum()), int(sizes[own].sum()))]
+        out += [(LANGS[k], _confidence(score[lang == k].sum(axis=0), k, sizes[lang == k].sum()), int(weight[k])) for k in others]
         cut = np.flatnonzero(np.diff(lang)) + 1
         runs = [(LANGS[lang[r[0]]], _confidence(score[r].sum(axis=0), int(lang[r[0]]), sizes[r].sum()), int(sizes[r].sum()), len(r)) for r in np.split(np.arange(len(lang)), cut)]
         yield out, runs
@@ -228,25 +270,40 @@ def _confidence(score: np.ndarray, k: int, words: int) -> float:
     return round(float(p[k] / p.sum()), 4)
 
 
+def _known(samples: DataFrame, sample_rows: int) -> dict[tuple[str, str], int]:
+    rows = samples.select(F.lower(F.trim("lang")).alias("lang"), "text").where("lang is not null and text is not null").orderBy(F.xxhash64("lang", "text"), "lang", "text").limit(sample_rows).collect()
+    return counted([(r.lang, r.text) for r in rows])
+
+
 def fit(samples: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Model from checked samples: at most sample_rows rows, lowest hash first."""
-    rows = samples.select(F.lower(F.trim("lang")).alias("lang"), "text").where("lang is not null and text is not null").orderBy(F.xxhash64("lang", "text"), "lang", "text").limit(sample_rows).collect()
-    return Model([(r.lang, r.text) for r in rows])
+    return Model(_known(samples, sample_rows))
 
 
 def fit_on_documents(samples: DataFrame, docs: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_docs: int = SAMPLE_DOCS) -> Model:
     """Model from the checked samples and from whole documents whose label agrees with what the samples' model says.
 
     At most sample_docs labelled documents are read, lowest hash of doc_id first; the two views, label and text, must
-    name the same single language, so that wrong labels do not teach.
+    name the same single language, so that wrong labels do not teach. They are scored and their words counted in tasks;
+    only the counts come to the driver.
     """
-    first = fit(samples, sample_rows)
+    known = _known(samples, sample_rows)
+    spark = docs.sparkSession
+    shared = spark.sparkContext.broadcast(Model(known))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = Scorer(shared.value)
+        for d in batches:
+            kept = [(lab, t) for lab, t, (langs, _) in zip(d["label"], d["text"], judged(d["text"].tolist(), scorer), strict=True) if len(langs) == 1 and langs[0][0] == lab]
+            found = counted([(lab, " . ".join(" ".join(s) for s in sentences(t))) for lab, t in kept])
+            yield pd.DataFrame([(lab, w, n) for (lab, w), n in found.items()], columns=["lang", "word", "n"])
+
     picked = docs.select("doc_id", "text", label_language(F.col("lang")).alias("label")).where(F.col("label").isin(*LANGS) & F.col("text").rlike(VISIBLE))
-    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()
-    scorer = Scorer(first)
-    rows = [(r.label, r.text) for r, (langs, _) in zip(picked, judged([r.text for r in picked], scorer), strict=True) if len(langs) == 1 and langs[0][0] == r.label]
-    known = samples.select(F.lower(F.trim("lang")).alias("lang"), "text").where("lang is not null and text is not null").orderBy(F.xxhash64("lang", "text"), "lang", "text").limit(sample_rows).collect()
-    return Model([*((r.lang, r.text) for r in known), *((lang, " . ".join(" ".join(s) for s in sentences(text))) for lang, text in rows)])
+    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    taught = picked.mapInPandas(run, "lang string, word string, n bigint").groupBy("lang", "word").agg(F.sum("n").alias("n")).collect()
+    for r in taught:
+        known[r.lang, r.word] = known.get((r.lang, r.word), 0) + r.n
+    return Model(known)
 
 
 def label_language(c):

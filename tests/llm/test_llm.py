@@ -234,28 +234,40 @@ def test_little_room_is_lost():
 # --- leakage
 
 
+def shingles(ws):
+    n = min(len(ws), K.SHINGLE)
+    return K.shingle_hashes(K.word_hashes(ws), n).tolist() if n else []
+
+
 def test_leaks_match_brute_force(spark):
+    """Every document against every item: each passage of twice the item's length that begins at a shared shingle."""
     docs, items = read_table(spark, SF01, "documents"), read_table(spark, SF01, "eval_items")
     got = {(r.doc_id, r.item_id) for r in K.p7_found(spark, SF01).collect()}
-    rare = {r.item_id: (list(r.words), set(r.rare or [])) for r in K.item_index(items).collect()}
+    index = {r.item_id: (list(r.words), set(r.rare or []), list(r.sh)) for r in K.item_index(items).collect()}
     want = set()
     for d in docs.select("doc_id", "text").collect():
-        ws = K.words(d.text)
-        have = set(ws)
-        for i, (q, r) in rare.items():
-            if len(r & have) >= 0.3 * len(r) and len(set(q) & have) >= 0.4 * len(set(q)):
-                share, part = K.repeated(q, r, [ws])
-                if share >= K.SHARE and part >= K.RARE_SHARE:
+        places = list(enumerate(shingles(K.words(d.text))))
+        for i, (q, r, sh) in index.items():
+            known = set(sh)
+            own = [(p, x) for p, x in places if x in known]
+            passages = [[x for p, x in own if at <= p < at + 2 * len(q)] for at, _ in own]
+            if passages:
+                part, share, rare = K.repeated(q, r, sh, passages)
+                if part >= K.CONTAINED and share >= K.SHARE and rare >= K.RARE_SHARE:
                     want.add((d.doc_id, i))
-    assert want and len(got & want) / len(want) >= 0.95 and len(got - want) <= 0.1 * len(got)
+    assert want and len(got & want) / len(want) >= 0.95 and len(got - want) <= 0.02 * len(got)
+
+
+def leaked(docs, items):
+    return {(r.doc_id, r.item_id) for r in K.leaks(docs, items).where(f"contained >= {K.CONTAINED} and share >= {K.SHARE} and rare_share >= {K.RARE_SHARE}").collect()}
 
 
 def test_leak_edges(spark):
     q = "In spring the baker Rukclapex hid 703 orange buoys behind the chapel in Kernauzorruk for the price of a donkey"
-    items = spark.createDataFrame([(1, q, "x"), (2, None, "x"), (3, "a b", "x"), (None, q, "x")], "item_id long, question string, words string")
-    docs = spark.createDataFrame([(1, "noise " * 50 + q.upper().replace(" ", "\n* ") + " tail" * 50), (2, None), (3, " "), (4, q[:30]), (5, "in spring the baker"), (None, q), (1, "noise " * 50 + q)], "doc_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in K.leaks(docs, items).where(f"share >= {K.SHARE} and rare_share >= {K.RARE_SHARE}").collect()}
-    assert got == {(1, 1)}
+    items = spark.createDataFrame([(1, q, "x"), (2, None, "x"), (3, "violet teapot", "x"), (4, "Zanzibar?", "x"), (5, "...", "x"), (None, q, "x")], "item_id long, question string, words string")
+    docs = spark.createDataFrame([(1, "noise " * 50 + q.upper().replace(" ", "\n* ") + " tail" * 50), (2, None), (3, " "), (4, q[:30]), (5, "in spring the baker"), (6, "a Violet  *teapot* on its own"), (7, "to ZANZIBAR by sea"), (8, "violet or teapot"), (None, q), (1, "noise " * 50 + q)], "doc_id long, text string")
+    got = leaked(docs, items)
+    assert got == {(1, 1), (6, 3), (7, 4)}
     assert K.leaks(docs, items.where("false")).count() == 0 and K.leaks(docs.where("false"), items).count() == 0
 
 
@@ -264,19 +276,33 @@ def test_leaks_without_rare_words(spark):
     sums = [f"A farmer sells {a} eggs on the first day and {b} on the second one how many eggs did the farmer sell in all" for a, b in ((4821, 77), (915, 3302), (64, 2718), (5150, 811), (1999, 36))]
     items = spark.createDataFrame([*((i, q) for i in (1, 2, 3, 4)), *enumerate(sums, 11)], "item_id long, question string")
     docs = spark.createDataFrame([(1, "noise " * 50 + q + " tail" * 50), (2, "noise " * 50 + sums[1] + " tail" * 50)], "doc_id long, text string")
-    got = {(r.doc_id, r.item_id) for r in K.leaks(docs, items).where(f"share >= {K.SHARE} and rare_share >= {K.RARE_SHARE}").collect()}
+    got = leaked(docs, items)
     assert got == {(1, 1), (1, 2), (1, 3), (1, 4), (2, 12)}
 
 
+def test_long_items_have_partitions_of_their_own(spark):
+    rng = random.Random(5)
+    q = " ".join(f"word{rng.randrange(10**6)}" for _ in range(2000))
+    items = spark.createDataFrame([(1, q), (2, "some other question about nothing much")], "item_id long, question string")
+    docs = spark.createDataFrame([(1, "noise " * 3000 + " ".join(q.split()[:1300]) + " tail" * 3000), (2, " ".join(q.split()[:300]))], "doc_id long, text string")
+    assert K.window_size(K.size_class(2000)) >= 2000
+    assert leaked(docs, items) == {(1, 1)}
+
+
+def parts(item, *passages):
+    sh = shingles(item)
+    return K.repeated(item, {"w0", "w1"}, sh, [shingles(p) for p in passages])
+
+
 def test_names_count_over_both_passages():
     item = [f"w{i}" for i in range(20)]
-    assert K.repeated(item, {"w0", "w1"}, [item[:5], ["x", *item[10:16]]]) == (11 / 20, 1.0)
-    assert K.repeated(item, set(), [item]) == (1.0, 1.0)
+    assert parts(item, item[:5], ["x", *item[10:16]]) == (7 / 18, 11 / 20, 1.0)
+    assert K.repeated(item, set(), shingles(item), [shingles(item)]) == (1.0, 1.0, 1.0)
 
 
 def test_other_part_behind_many_copies_of_one():
     item = [f"w{i}" for i in range(30)]
-    assert K.repeated(item, set(), [*([f"x{i}", *item[:9]] for i in range(12)), item[20:28]]) == (17 / 30, 1.0)
+    assert parts(item, *([f"x{i}", *item[:9]] for i in range(12)), item[20:28]) == (13 / 28, 17 / 30, 1.0)
 
 
 # --- language
@@ -286,7 +312,7 @@ def test_held_out_samples(spark):
     rows = [(r.lang, r.text) for r in read_table(spark, SF01, "lang_samples").collect()]
     random.Random(2).shuffle(rows)
     cut = len(rows) // 2
-    scorer = L.Scorer(L.Model(rows[:cut]))
+    scorer = L.Scorer(L.Model(L.counted(rows[:cut])))
     got = [ls[0][0] if ls else None for ls, _ in L.judged([t for _, t in rows[cut:]], scorer)]
     assert np.mean([a == b for a, (b, _) in zip(got, rows[cut:], strict=True)]) >= 0.95
 
