@@ -1,15 +1,19 @@
 """Rebuilding conversations from message rows (problem 3).
 
-The clocks of user and assistant differ by an unknown offset per conversation. Every reply gives a constraint: a turn
-comes after the one before it. With g the observed step between neighbouring turns and s = +1 for user to assistant, -1
-for the way back and 0 else, g = m + s * d + noise; the least-squares offset d has a closed form in six sums, and the
-constraints bound it from both sides. Times of the assistant are corrected by d, the streams are merged by turn number
-and corrected time, and conversations whose constraints cannot be met are rejected.
-
-TESTDATA.md fixes the order: by turn number where the conversation has them, else by created_at. So the offset is zero
-where there are no turn numbers, and an offset that no constant can explain (clock_ok false) is told, but rejects
-nothing. All work is on sums and extremes that combine before the shuffle, or on blocks of 512 turns, so one session
-may hold a third of all rows.
+The clocks of user and assistant differ by an unknown offset per conversation. Every reply gives a constraint: it comes
+after the message that it answers and before the next one. With g the observed step between neighbouring turns and
+s = +1 for user to assistant, -1 for the way back and 0 else, g = m + s * d + noise; the least-squares offset d has a
+closed form in six sums, and the constraints bound it from both sides. Where they are broken, times of the assistant are
+corrected by d, the two streams are merged by turn number and corrected time, and conversations whose constraints no
+offset can meet are rejected.
+
+Which turns are neighbours is told by turn numbers, or without them by rank: each sender's own messages are in order of
+its own clock, and if there are as many replies as messages of the user, the k-th reply answers the k-th of these.
+
+TESTDATA.md fixes the order in which p3_found judges a conversation: by turn number where it has them, else by
+created_at as it stands. So p3_found drops for its listed reasons only, and offsets and infeasible clocks act on what
+p3_conversations makes of the rest. All work is on sums and extremes that combine before the shuffle, or on blocks of
+512 turns or one hour, so one session may hold a third of all rows.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ ASSISTANT = ("assistant", "ai", "bot", "model", "agent")
 SYSTEM = ("system", "sys", "developer")
 
 BLOCK = 512
-DAY_US = 86_400_000_000
+HOUR_US = 3_600_000_000
 
 
 def prepared(df: DataFrame) -> DataFrame:
@@ -60,11 +64,25 @@ def per_turn(m: DataFrame) -> DataFrame:
     )
 
 
-def clock_offsets(turns: DataFrame) -> DataFrame:
-    """Least-squares offset of the assistant's clock per session: session_id, d (microseconds), clock_ok.
+def fitted(steps: DataFrame) -> DataFrame:
+    """session_id, d, clock_ok from steps (session_id, s, g): least squares in closed form, clipped to the bounds that the
+    constraints set, less an eighth of the room between them, so that no reply falls on what it answers. Without a broken constraint the clocks agree and d is 0; clock_ok is false where the bounds
+    contradict each other, and d is 0 there too."""
+    x = steps.groupBy("session_id").agg(
+        F.count("*").alias("n"), F.sum("s").alias("ss"), F.sum(F.abs("s")).alias("sq"), F.sum("g").alias("sg"), F.sum(F.col("s") * F.col("g")).alias("sp"),
+        F.min(F.when(F.col("s") == 1, F.col("g"))).alias("top"), (-F.min(F.when(F.col("s") == -1, F.col("g")))).alias("low"),
+    )
+    det = F.col("n") * F.col("sq") - F.col("ss") * F.col("ss")
+    fit = F.when(det > 0, (F.col("n") * F.col("sp") - F.col("ss") * F.col("sg")) / det).otherwise(F.lit(0.0))
+    broken = (F.coalesce("top", F.lit(0.0)) < 0) | (F.coalesce("low", F.lit(0.0)) > 0)
+    ok = F.coalesce(F.col("low") <= F.col("top"), F.lit(True))
+    off = F.coalesce((F.col("top") - F.col("low")) / 8, F.lit(1.0))
+    d = F.when(broken & ok, F.greatest(F.least(fit, F.col("top") - off), F.col("low") + off)).otherwise(F.lit(0.0))
+    return x.select("session_id", d.cast("bigint").alias("d"), ok.alias("clock_ok"))
 
-    The offset is clipped to the bounds that the constraints set; where these contradict each other clock_ok is false.
-    """
+
+def clock_offsets(turns: DataFrame) -> DataFrame:
+    """Offset of the assistant's clock per session with turn numbers: session_id, d (microseconds), clock_ok."""
     k = F.floor(F.col("turn") / BLOCK)
     # a turn that begins a block also ends the block before it, so no step is lost
     rows = turns.where("turn is not null and lo is not null").select(
@@ -72,16 +90,28 @@ def clock_offsets(turns: DataFrame) -> DataFrame:
     )
     w = Window.partitionBy("session_id", "k").orderBy("turn")
     step = rows.select("session_id", ((F.lead("r").over(w) - F.col("r")).alias("s")), (F.lead("t").over(w) - F.col("t")).cast("double").alias("g"), (F.lead("turn").over(w) - F.col("turn")).alias("n")).where("n = 1")
-    x = step.groupBy("session_id").agg(
-        F.count("*").alias("n"), F.sum("s").alias("ss"), F.sum(F.abs("s")).alias("sq"), F.sum("g").alias("sg"), F.sum(F.col("s") * F.col("g")).alias("sp"),
-        F.min(F.when(F.col("s") == 1, F.col("g"))).alias("top"), (-F.min(F.when(F.col("s") == -1, F.col("g")))).alias("low"),
-    )
-    det = F.col("n") * F.col("sq") - F.col("ss") * F.col("ss")
-    fit = F.when(det > 0, (F.col("n") * F.col("sp") - F.col("ss") * F.col("sg")) / det).otherwise(F.lit(0.0))
-    # without a broken constraint the clocks agree and stay as they are
-    broken = (F.coalesce("top", F.lit(0.0)) < 0) | (F.coalesce("low", F.lit(0.0)) > 0)
-    d = F.when(broken, F.greatest(F.least(fit, F.col("top")), F.col("low"))).otherwise(F.lit(0.0))
-    return x.select("session_id", d.cast("bigint").alias("d"), F.coalesce(F.col("low") <= F.col("top"), F.lit(True)).alias("clock_ok"))
+    return fitted(step)
+
+
+def paired_offsets(m: DataFrame) -> DataFrame:
+    """Offset of the assistant's clock per session without turn numbers: session_id, d, clock_ok; m: session_id, id, role, t.
+
+    Ranks come from counts per hour and the place within it, so no window holds a whole session. Sessions with another
+    number of replies than of messages they answer have no pairs and are left out.
+    """
+    x = m.where("role in (1, 2) and t is not null").withColumn("h", F.floor(F.col("t") / HOUR_US))
+    hours = x.groupBy("session_id", "role", "h").agg(F.count("*").alias("c"))
+    before = Window.partitionBy("session_id", "role").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select("session_id", "role", "h", F.coalesce(F.sum("c").over(before), F.lit(0)).alias("n"))
+    x = x.withColumn("i", F.row_number().over(Window.partitionBy("session_id", "role", "h").orderBy("t", "id"))).join(hours, ["session_id", "role", "h"])
+    x = x.select("session_id", "role", "t", (F.col("i") + F.col("n")).alias("k"))
+    even = x.groupBy("session_id").agg(F.sum(F.when(F.col("role") == 1, 1).otherwise(-1)).alias("more")).where("more = 0").select("session_id")
+    # a message of the user stands in its own pair, and as the next one in the pair before
+    roles = F.when(F.col("role") == 1, F.array(F.struct(F.col("k").alias("k"), F.lit("u").alias("as")), F.struct((F.col("k") - 1).alias("k"), F.lit("next").alias("as")))).otherwise(F.array(F.struct(F.col("k").alias("k"), F.lit("a").alias("as"))))
+    one = lambda a: F.min(F.when(F.col("as") == a, F.col("t"))).alias(a)
+    pairs = x.select("session_id", "t", F.explode(roles).alias("x")).select("session_id", "t", "x.*").groupBy("session_id", "k").agg(one("u"), one("a"), one("next")).where("k > 0")
+    steps = F.array(F.struct(F.lit(1).alias("s"), (F.col("a") - F.col("u")).cast("double").alias("g")), F.struct(F.lit(-1).alias("s"), (F.col("next") - F.col("a")).cast("double").alias("g")))
+    return fitted(pairs.join(even, "session_id", "left_semi").select("session_id", F.explode(steps).alias("x")).select("session_id", "x.*").where("g is not null"))
 
 
 def verdicts(df: DataFrame) -> DataFrame:
@@ -136,25 +166,35 @@ def slotted(m: DataFrame) -> DataFrame:
     return m.where(~loose).withColumn("slot", F.col("turn")).unionByName(x.withColumn("slot", slot).select(*m.columns, "slot"))
 
 
-def conversations(df: DataFrame) -> DataFrame:
-    """Kept conversations in order: session_id, part, turns (array of pos, role, text, at), in parts of 512 turns.
+def ordered(df: DataFrame) -> DataFrame:
+    """Messages of the kept conversations in order: session_id, pos (from 1), role (code), content, at (corrected time).
 
-    A conversation of up to 512 turns is one row. Visible messages only, each id once. Positions come from counts per
-    block of order keys, so no task ever holds a whole session.
+    Kept are the conversations that verdicts() keeps and whose reply constraints some offset meets. Visible messages only,
+    each id once. Each sender's messages keep the order of its own clock; both streams are merged by turn number, or
+    without one by corrected time. Positions come from counts per block of order keys, so no task holds a whole session.
     """
-    names = F.element_at(F.array(F.lit("user"), F.lit("assistant"), F.lit("system")), F.col("role"))
-    kept = verdicts(df).where("reason is null").select("session_id", "d", "has_turns")
+    kept = verdicts(df).where("reason is null and clock_ok").select("session_id", F.col("d").alias("_d"), "has_turns")
     m = prepared(df).where("shown and role > 0").dropDuplicates(["session_id", "id", "turn", "t"]).join(kept, "session_id")
+    pairs = paired_offsets(m.where("not has_turns").select("session_id", "id", "role", "t"))
+    m = m.join(pairs, "session_id", "left").where("coalesce(clock_ok, true)").withColumn("d", F.coalesce("d", "_d")).drop("_d", "clock_ok")
     at = F.when(F.col("role") == 2, F.col("t") - F.col("d")).otherwise(F.col("t"))
-    m = slotted(m.withColumn("at", at)).withColumn("key", F.when(F.col("has_turns"), F.col("slot")).otherwise(F.floor(F.col("at") / DAY_US)))
+    m = slotted(m.withColumn("at", at)).withColumn("key", F.when(F.col("has_turns"), F.col("slot")).otherwise(F.floor(F.col("at") / HOUR_US)))
     m = m.withColumn("k", F.when(F.col("has_turns"), F.floor(F.col("key") / BLOCK)).otherwise(F.col("key")))
     ahead = m.groupBy("session_id", "k").agg(F.count("*").alias("c"))
     ahead = ahead.select("session_id", "k", F.coalesce(F.sum("c").over(Window.partitionBy("session_id").orderBy(F.col("k").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n"))
     w = Window.partitionBy("session_id", "k").orderBy(F.when(F.col("has_turns"), F.col("slot")).asc_nulls_last(), F.col("has_turns") & F.col("turn").isNull(), F.col("at").asc_nulls_last(), "role", "id")
     placed = m.withColumn("i", F.row_number().over(w)).join(ahead.withColumnRenamed("k", "k2").withColumnRenamed("session_id", "s2"), (F.col("session_id") == F.col("s2")) & F.col("k").eqNullSafe(F.col("k2")))
-    pos = (F.col("i") + F.col("n")).cast("bigint")
-    turn = F.struct(pos.alias("pos"), names.alias("role"), F.col("content").alias("text"), F.timestamp_micros("at").alias("at"))
-    return placed.select("session_id", F.floor((pos - 1) / BLOCK).cast("int").alias("part"), turn.alias("x")).groupBy("session_id", "part").agg(F.array_sort(F.collect_list("x")).alias("turns"))
+    return placed.select("session_id", (F.col("i") + F.col("n")).cast("bigint").alias("pos"), "role", "content", F.timestamp_micros("at").alias("at"))
+
+
+def conversations(df: DataFrame) -> DataFrame:
+    """Kept conversations in order: session_id, part, turns (array of pos, role, text, at), in parts of 512 turns.
+
+    A conversation of up to 512 turns is one row. Order and choice are those of ordered().
+    """
+    names = F.element_at(F.array(F.lit("user"), F.lit("assistant"), F.lit("system")), F.col("role"))
+    turn = F.struct("pos", names.alias("role"), F.col("content").alias("text"), "at")
+    return ordered(df).select("session_id", F.floor((F.col("pos") - 1) / BLOCK).cast("int").alias("part"), turn.alias("x")).groupBy("session_id", "part").agg(F.array_sort(F.collect_list("x")).alias("turns"))
 
 
 def p3_found(spark, sf_dir):
@@ -167,16 +207,40 @@ def p3_conversations(spark, sf_dir):
     return conversations(read_table(spark, sf_dir, "messages"))
 
 
+def p3_order(spark, sf_dir):
+    """The kept conversations message by message, with the corrected time."""
+    return ordered(read_table(spark, sf_dir, "messages")).select("session_id", "pos", "role", F.sha1("content").alias("h"), F.unix_micros("at").alias("at_us"))
+
+
 _ROLE = "trim(regexp_replace(lower(role), '\\s+', ' ', 'g'))"
 
-P3_SQL = rf"""
-with m as (select distinct id, session_id, created_at, try_cast(case when json_valid(metadata_json) then json_extract_string(metadata_json, '$.turn') end as bigint) turn,
+_MSG = rf"""m as (select distinct id, session_id, created_at, try_cast(case when json_valid(metadata_json) then json_extract_string(metadata_json, '$.turn') end as bigint) turn,
   case when {_ROLE} in ('user', 'human', 'customer', 'client') then 'u' when {_ROLE} in ('assistant', 'ai', 'bot', 'model', 'agent') then 'a'
-       when {_ROLE} in ('system', 'sys', 'developer') then 's' else 'x' end r,
+       when {_ROLE} in ('system', 'sys', 'developer') then 's' else 'x' end r, content,
   coalesce(regexp_matches(content, '[^\p{{Z}}\p{{C}}]'), false) shown from messages where session_id <> ''),
 a as (select session_id, arg_min(r, (coalesce(turn, 0), created_at)) filter (shown and r in ('u', 'a')) f, arg_max(r, (coalesce(turn, 0), created_at)) filter (shown and r in ('u', 'a')) l,
-  bool_or(shown and r = 'x') bad, count(distinct turn) n, least(min(turn), 1) t0, max(turn) t1 from m group by session_id)
+  bool_or(shown and r = 'x') bad, count(distinct turn) n, least(min(turn), 1) t0, max(turn) t1 from m group by session_id)"""
+
+P3_SQL = f"""with {_MSG}
 select session_id from a where f is null or bad or f <> 'u' or l <> 'a' or (n > 0 and t1 - t0 + 1 <> n)"""
 
-QUERIES = {"p3_found": p3_found, "p3_conversations": p3_conversations}
-SQL = {"p3_found": P3_SQL}
+# numbered conversations have a step for each two neighbouring turns, others one for each reply and each next message
+P3_ORDER_SQL = f"""with {_MSG},
+k as (select session_id, n > 0 has_turns from a where not (f is null or bad or f <> 'u' or l <> 'a' or (n > 0 and t1 - t0 + 1 <> n))),
+v as (select m.*, epoch_us(created_at) t, has_turns from m join k using (session_id) where shown and r <> 'x'),
+q as (select session_id, turn, arg_min(r, (t, r = 'a')) r, min(t) t from v where turn is not null and r in ('u', 'a') group by 1, 2),
+s1 as (select session_id, (r = 'a')::int - (lag(r) over w = 'a')::int s, t - lag(t) over w g, turn - lag(turn) over w step from q window w as (partition by session_id order by turn)),
+p as (select session_id, r, t, row_number() over (partition by session_id, r order by t, id) i from v where not has_turns and r in ('u', 'a')),
+e as (select session_id from p group by 1 having count(*) filter (r = 'u') = count(*) filter (r = 'a')),
+s2 as (select u.session_id, 1 s, b.t - u.t g from p u join p b on u.session_id = b.session_id and u.i = b.i and u.r = 'u' and b.r = 'a'
+  union all select u.session_id, -1, u.t - b.t from p u join p b on u.session_id = b.session_id and u.i = b.i + 1 and u.r = 'u' and b.r = 'a'),
+st as (select session_id, s, g::double g from s1 where step = 1 union all select session_id, s, g from s2 where session_id in (select session_id from e)),
+c as (select session_id, count(*)::double n, sum(s) ss, sum(abs(s)) sq, sum(g) sg, sum(s * g) sp, min(g) filter (s = 1) top, -min(g) filter (s = -1) low from st group by 1),
+d as (select session_id, coalesce(low <= top, true) ok, trunc(case when (coalesce(top, 0) < 0 or coalesce(low, 0) > 0) and coalesce(low <= top, true)
+  then greatest(least(case when n * sq - ss * ss > 0 then (n * sp - ss * sg) / (n * sq - ss * ss) else 0 end, top - coalesce((top - low) / 8, 1)), low + coalesce((top - low) / 8, 1)) else 0 end)::bigint d from c),
+o as (select v.session_id, v.id, turn, r, content, t - case when r = 'a' then coalesce(d, 0) else 0 end tt from v left join d using (session_id) where coalesce(ok, true))
+select session_id, row_number() over (partition by session_id order by turn, tt, case r when 'u' then 1 when 'a' then 2 else 3 end, id) as pos,
+  (case r when 'u' then 1 when 'a' then 2 else 3 end)::int as role, sha1(content) as h, tt as at_us from o"""
+
+QUERIES = {"p3_found": p3_found, "p3_conversations": p3_conversations, "p3_order": p3_order}
+SQL = {"p3_found": P3_SQL, "p3_order": P3_ORDER_SQL}

@@ -1,17 +1,21 @@
 """Filling containers of several permitted capacities with texts (problem 6): variable-capacity best fit.
 
 Texts are counted in tokens of a public tokenizer; one larger than the largest capacity is cut into pieces of that
-capacity. Items are dealt by a hash into shards of about SHARD_ITEMS items, however many there are, and each shard is
-packed by itself: items in decreasing order go into the open container that they fill best; where none has room, the
-capacity with the least cost per token is opened, given what the shard still has to fill it with; in the end each
-container shrinks to the smallest permitted capacity that holds its contents. The room that is lost by packing shards
-apart is one container a shard at most, of thousands.
+capacity. Items are dealt by a hash into shards of about SHARD_ITEMS pieces, however many there are, and each shard is
+packed by itself. The largest item that is left opens a container. For every permitted capacity that can hold it, the
+container is completed with the items that fit it best, each time the largest of those left that still has room; the
+capacity with the least cost per token held is opened, with these items in it. So the sizes that are left decide on all
+capacities jointly. In the end each container shrinks to the smallest permitted capacity that holds its contents. The
+room that is lost by packing shards apart is one container a shard at most, of hundreds.
+
+The cost of a container is its capacity, a fixed share for each container, and a share that grows with the square of
+the capacity, as attention does: many short containers and long ones both cost more than their room.
 """
 
 from __future__ import annotations
 
 import base64
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -19,23 +23,28 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.sources.tables import read_table, spread
+from lodestone.sources.tables import checkpointed, read_table, spread
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pre-tokenizer pattern that belongs to the byte-level vocabularies.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SHARD_ITEMS = 20_000
+SHARD_ITEMS = 2_000
 OVERHEAD = 2.0  # cost of a container beside its capacity, in tokens
+ATTENTION = 2.0**21  # capacity at which the square share costs as much as the capacity itself
 
 
 def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """doc_id, h (a hash that deals items to shards), tokens; null and empty texts have 0 tokens."""
+    """doc_id, h (a hash that deals items to shards), tokens; null and empty texts have 0 tokens.
+
+    The vocabulary file is read where the driver runs and sent to the tasks; such files have a fixed size of some MB.
+    """
+    with open(tokenizer, "rb") as f:
+        vocabulary = docs.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(tokenizer) as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.value.splitlines() if line)}
         enc = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for d in batches:
             yield pd.DataFrame({"doc_id": d["doc_id"], "h": d["h"], "tokens": [len(enc.encode_ordinary(t)) if t else 0 for t in d["text"]]})
@@ -44,46 +53,42 @@ def token_counts(docs: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
     return spread(x).mapInPandas(run, "doc_id bigint, h bigint, tokens bigint")
 
 
-def best_fit(sizes: np.ndarray, capacities: Sequence[int], overhead: float = OVERHEAD) -> tuple[np.ndarray, np.ndarray]:
+def best_fit(sizes: np.ndarray, capacities: Sequence[int], overhead: float = OVERHEAD, attention: float = ATTENTION) -> tuple[np.ndarray, np.ndarray]:
     """Container of each item (sizes in decreasing order, none above the largest capacity), and each container's capacity."""
     caps = sorted(capacities)
-    n = len(sizes)
-    left = np.concatenate([np.cumsum(sizes[::-1])[::-1], [0]])
-    rising = -sizes  # ascending, for bisection
-    room: dict[int, list[int]] = {}
-    open_rooms: list[int] = []
-    where, fill = np.empty(n, np.int64), []
-
-    def put(b: int, r: int) -> None:
-        if r > 0:
-            if r not in room:
-                room[r] = []
-                insort(open_rooms, r)
-            room[r].append(b)
-
-    for i in range(n):
-        s = int(sizes[i])
-        k = bisect_left(open_rooms, s)
-        if k < len(open_rooms):
-            r = open_rooms[k]
-            b = room[r].pop()
-            if not room[r]:
-                del room[r]
-                open_rooms.pop(k)
-        else:
-            best = None
-            for c in caps:
-                if c >= s:
-                    j = max(i + 1, int(np.searchsorted(rising, -(c - s), side="left")))
-                    held = min(c, s + int(left[j]))
-                    cost = ((c + overhead) / held, -c)
-                    if best is None or cost < best[0]:
-                        best = (cost, c)
-            r, b = best[1], len(fill)
-            fill.append(0)
-        where[i] = b
-        fill[b] += s
-        put(b, r - s)
+    values, counts = np.unique(np.asarray(sizes, np.int64), return_counts=True)
+    left = dict(zip(values.tolist(), counts.tolist(), strict=True))
+    next_of = dict(zip(values.tolist(), np.searchsorted(-np.asarray(sizes, np.int64), -values).tolist(), strict=True))
+    some = values.tolist()  # sizes of which items are left, ascending
+
+    def completed(room: int, first: int) -> tuple[list[tuple[int, int]], int]:
+        """Sizes and numbers of the best fitting items for this room beside one item of size first, and the room that stays."""
+        picks, k = [], bisect_right(some, room) - 1
+        while k >= 0:
+            v = some[k]
+            n = min(left[v] - (v == first), room // v)
+            if n:
+                picks.append((v, n))
+                room -= n * v
+            k = bisect_right(some, room, 0, k) - 1
+        return picks, room
+
+    where, fill = np.empty(len(sizes), np.int64), []
+    while some:
+        s = some[-1]
+        best = None
+        for c in caps[bisect_left(caps, s) :]:
+            picks, room = completed(c - s, s)
+            cost = (c + overhead + c * c / attention) / (c - room)
+            if best is None or cost < best[0]:
+                best = (cost, picks, c - room)
+        for v, n in ((s, 1), *best[1]):
+            where[next_of[v] : next_of[v] + n] = len(fill)
+            next_of[v] += n
+            left[v] -= n
+            if not left[v]:
+                del some[bisect_left(some, v)]
+        fill.append(best[2])
     at = np.searchsorted(caps, fill, side="left") if fill else np.empty(0, np.int64)
     return where, np.array(caps)[at] if fill else np.empty(0, np.int64)
 
@@ -100,7 +105,6 @@ def pack(docs: DataFrame, capacities: Sequence[int], tokenizer: str = TOKENIZER,
     if not caps:
         raise ValueError("no positive capacity")
     top = caps[-1]
-    shards = max(1, -(-docs.count() // shard_items))
 
     def run(d: pd.DataFrame) -> pd.DataFrame:
         d = d.sort_values(["tokens", "h", "doc_id", "piece"], ascending=[False, True, True, True])
@@ -108,7 +112,9 @@ def pack(docs: DataFrame, capacities: Sequence[int], tokenizer: str = TOKENIZER,
         shard = int(d["shard"].iloc[0])
         return pd.DataFrame({"doc_id": d["doc_id"], "piece": d["piece"], "tokens": d["tokens"], "container": [f"{shard}-{b}" for b in where], "capacity": size[where]})
 
-    n = token_counts(docs, tokenizer)
+    # texts are counted once; the counts feed the number of shards, the items and the documents without tokens
+    n = checkpointed(token_counts(docs, tokenizer))
+    shards = max(1, -(-(n.agg(F.sum(F.ceil(F.col("tokens") / top))).first()[0] or 0) // shard_items))
     pieces = F.transform(F.sequence(F.lit(0), F.floor((F.col("tokens") - 1) / top).cast("int")), lambda i: F.struct(i.alias("piece"), F.least(F.lit(top), F.col("tokens") - i * top).cast("bigint").alias("n")))
     items = n.where("tokens > 0").select("doc_id", "h", F.explode(pieces).alias("x")).select("doc_id", "h", "x.piece", F.col("x.n").alias("tokens"))
     items = items.withColumn("shard", F.pmod(F.xxhash64("h", "piece"), F.lit(shards)))
@@ -133,4 +139,15 @@ def p6_unused(spark, sf_dir):
     return x.groupBy("capacity").agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"), F.round(1 - F.sum("tokens") / F.sum("capacity"), 5).alias("unused"))
 
 
-QUERIES = {"p6_containers": p6_containers, "p6_unused": p6_unused}
+def p6_audit(spark, sf_dir):
+    """Documents packed or without tokens, documents whose pieces are not 0, 1, ... in full containers but the last, and
+    containers that hold more than their capacity: the last two are none."""
+    x, top = p6_containers(spark, sf_dir), max(_capacities(spark, sf_dir))
+    d = x.groupBy("doc_id").agg(F.count("*").alias("n"), F.max("piece").alias("last"), F.sum((F.col("tokens") < top).cast("int")).alias("part"))
+    docs = d.agg(F.count("*").alias("documents"), F.sum(((F.col("n") != F.col("last") + 1) | (F.col("part") > 1)).cast("bigint")).alias("split_wrongly"))
+    over = x.where("container is not null").groupBy("container").agg(F.sum("tokens").alias("tokens"), F.max("capacity").alias("capacity"), F.min("capacity").alias("least"))
+    return docs.crossJoin(over.agg(F.sum(((F.col("tokens") > F.col("capacity")) | (F.col("least") != F.col("capacity"))).cast("bigint")).alias("overfull")))
+
+
+QUERIES = {"p6_containers": p6_containers, "p6_unused": p6_unused, "p6_audit": p6_audit}
+SQL = {"p6_audit": "select count(distinct doc_id) as documents, 0::bigint as split_wrongly, 0::bigint as overfull from documents"}

@@ -30,6 +30,8 @@ from lodestone.sources.tables import checkpointed, read_table
 CUT_MARK = r"(?:\s*(?:\[(?:truncated|cut|snip|\.\.\.|…)\]|\((?:cut|truncated)\)|…|\.{3,}|�+))+$"
 SAID_MARK = r"(?:[\[(](?:truncated|cut|snip)[\])]|�)\s*$"
 END_MARK = r"(?:[.!?。！？])[\"'”’“»)\]`*_]*$"
+# What prints nothing at the end of a text: controls, separators, zero-width space and byte order mark.
+BLANK = "".join(map(chr, (*range(0x21), *range(0x7F, 0xA1), 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 # Word, number, end of sentence, other sign.
 TOKEN = r"[\p{L}\p{M}'’]+|\d+|[.!?]+|[|]|[,;:()\[\]]"
 WORD = r"^[\p{L}\d]"
@@ -41,16 +43,23 @@ RATIO_BINS = 0.25
 CLUSTERING = 1.5  # times the mean density of sentence ends that one length may see, as texts are built of like sentences
 
 
+def _shortened(c):
+    """A text without the marks of a cut at its end; only texts that end like one are looked at by pattern."""
+    return F.when(F.right(c, F.lit(1)).isin("]", ")", "…", "�") | c.endswith("..."), F.regexp_replace(c, CUT_MARK, "")).otherwise(c)
+
+
 def _texts(df: DataFrame, table: str, rec: str, source: str, text: str) -> DataFrame:
+    c = F.col(text).cast("string")
     return df.select(
         F.lit(table).alias("rec_table"), F.col(rec).cast("string").alias("rec_id"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"),
-        F.regexp_replace(F.col(text).cast("string"), r"[\s\p{Z}\p{Cc}​﻿]+$", "").alias("text"), F.length(text).cast("long").alias("chars"), F.octet_length(F.regexp_replace(text, "�+$", "")).cast("long").alias("bytes"),
+        F.rtrim(c, F.lit(BLANK)).alias("text"), F.length(c).cast("long").alias("chars"), F.octet_length(F.rtrim(c, F.lit("�"))).cast("long").alias("bytes"),
     ).where("text <> '' and rec_id is not null")
 
 
 def texts_of(sessions: DataFrame, reports: DataFrame) -> DataFrame:
-    """rec_table, rec_id, source, text (without white space at its end), chars and bytes (with it) of both tables; null and blank texts are left out, as they have lost nothing."""
-    return _texts(sessions, "sessions", "id", "client", "user_prompt").unionByName(_texts(reports, "session_reports", "session_id", "writer", "summary")).distinct()
+    """rec_table, rec_id, source, text (without white space at its end), chars and bytes (with it) of both tables; null
+    and blank texts are left out, as they have lost nothing. Repeated rows stay: no text is shuffled to find them."""
+    return _texts(sessions, "sessions", "id", "client", "user_prompt").unionByName(_texts(reports, "session_reports", "session_id", "writer", "summary"))
 
 
 # --- lengths -------------------------------------------------------------------------------------------------------
@@ -118,40 +127,43 @@ def limits(feat: DataFrame) -> DataFrame:
 
 def tokens(c):
     """Lower-case tokens, every number as 0."""
-    return F.transform(F.regexp_extract_all(F.lower(c), F.lit(TOKEN), F.lit(0)), lambda t: F.regexp_replace(t, r"^\d+$", "0"))
+    return F.regexp_extract_all(F.regexp_replace(F.lower(c), r"\d+", "0"), F.lit(TOKEN), F.lit(0))
 
 
 def word_pairs(texts: DataFrame) -> DataFrame:
-    """w2, w1, all, ends: how often two neighbouring words occur before a further token, and before an end of sentence.
+    """w2, w1, n, ends: how often two neighbouring words occur before a further token, and before an end of sentence.
 
-    Counted over every text that has end marks or bars of its own, the last word of each left out. The mark of a cut
-    ends no sentence and is left out too.
+    Counted over every row that has end marks or bars of its own, repeated ones as often as they occur, the last word of
+    each left out. The mark of a cut ends no sentence and is left out too. Pairs are added up before they are shuffled.
     """
-    t = texts.where(F.col("text").rlike(r"[.!?|]")).select(tokens(F.regexp_replace("text", CUT_MARK, "")).alias("t")).where("size(t) > 1")
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.size("t") - 1),
-        lambda i: F.struct(F.when(i > 1, F.get("t", i - 2)).otherwise(F.lit("")).alias("w2"), F.get("t", i - 1).alias("w1"), F.get("t", i).rlike(r"^[.!?|]").cast("long").alias("e")),
-    )
-    return t.select(F.explode(pairs).alias("x")).select("x.*").where(F.col("w1").rlike(WORD)).groupBy("w2", "w1").agg(F.count("*").alias("n"), F.sum("e").alias("ends"))
+    t = texts.where(F.col("text").rlike(r"[.!?|]")).select(tokens(_shortened(F.col("text"))).alias("t")).where("size(t) > 1")
+    n = F.size("t") - 1
+    three = t.select(F.concat(F.array(F.lit("")), F.slice("t", F.lit(1), n - 1)).alias("w2"), F.slice("t", F.lit(1), n).alias("w1"), F.slice("t", F.lit(2), n).alias("next"))
+    pairs = three.select(F.inline(F.arrays_zip("w2", "w1", "next"))).where(F.col("w1").rlike(WORD))
+    return pairs.groupBy("w2", "w1").agg(F.count("*").alias("n"), F.sum(F.substring("next", 1, 1).isin(".", "!", "?", "|").cast("long")).alias("ends"))
 
 
 def features(texts: DataFrame) -> DataFrame:
-    """Sizes and the form of the ending: kind is mark, end, open, hang, word or closed; w2 and w1 its last tokens."""
-    b = texts.withColumn("body_text", F.regexp_replace("text", CUT_MARK, "")).withColumn("tail", F.substring("body_text", -160, 160))
-    # code marks are counted from the start of the text, as its last part may begin inside a pair
-    count = lambda p: F.size(F.regexp_extract_all(F.regexp_replace("body_text", r"[:;]-?[()]", ""), F.lit(p), F.lit(0)))
+    """Sizes and the form of the ending: kind is mark, end, open, hang, word or closed; w2 and w1 its last tokens.
+
+    Whole texts are looked at for what they leave open, by pattern only if they hold such a sign at all.
+    """
+    b = texts.withColumn("body_text", _shortened(F.col("text"))).withColumn("tail", F.right("body_text", F.lit(160)))
+    count = lambda p: F.when(F.contains(F.col("body_text"), F.lit("`")), F.size(F.regexp_extract_all("body_text", F.lit(p), F.lit(0)))).otherwise(0)
     # brackets and quotes without their partner, anywhere in the text; code and emoticons hold such marks by themselves
     bare = F.regexp_replace("body_text", r"(?s)```.*?```|`[^`\n]*`|[:;]-?[()]", "")
     for _ in range(3):
         bare = F.regexp_replace(bare, r"\([^()]*\)|\[[^\[\]]*\]|\{[^{}]*\}|«[^«»]*»|„[^„“”]*[“”]", "")
+    unclosed = F.when((F.length("body_text") > 160) & ~F.col("tail").rlike(END_MARK) & F.col("body_text").rlike(r"[(\[{«„]") & ~F.col("tail").rlike(r"[:;]-?[(]$"), bare.rlike(r"[(\[{«„]")).otherwise(False)
     line = F.substring_index("body_text", "\n", -1)
+    row = F.when(F.contains(F.col("body_text"), F.lit("\n|")), (F.length(line) >= 160) & line.rlike(r"^\|.*[^|\s]\s*$")).otherwise(False)
     opened = (
         F.col("tail").rlike(r"[(\[{«„][^)\]}»“”]*$") & ~F.col("tail").rlike(r"[:;]-?[(]$")
         | F.col("tail").rlike(r"<(?:a|b|i|u|p|em|strong|code|pre|li|td|div|span)>[^<]*$|<[a-z/]{0,10}$")
         | F.col("tail").rlike(r"\n\|[^\n]*[^|\n\s]\s*$")
         | F.col("tail").rlike(r"(?:^|[\s.!?,;:])&(?:#\d*|[a-z]{1,7})$")
-        | (F.length("body_text") > 160) & bare.rlike(r"[(\[{«„]") & ~F.col("tail").rlike(END_MARK) & ~F.col("tail").rlike(r"[:;]-?[(]$")
-        | F.col("body_text").contains("\n|") & (F.length(line) >= 160) & line.rlike(r"^\|.*[^|\s]\s*$")
+        | unclosed
+        | row
         | (count("```") % 2 == 1)
         | (count("(?<!`)`(?!`)") % 2 == 1) & F.col("tail").rlike(r"`[^`]*$")
     )
@@ -169,7 +181,7 @@ def features(texts: DataFrame) -> DataFrame:
     return b.select(
         "rec_table", "rec_id", "source", kind.alias("kind"), "chars", "bytes", F.when(F.col("text") != F.col("body_text"), F.length("body_text")).otherwise(F.lit(0)).cast("long").alias("body"),
         (F.size(F.regexp_extract_all("tail", F.lit(r"[.!?]\s"), F.lit(0))) / F.greatest(F.length("tail"), F.lit(1))).alias("marks"), F.element_at(F.concat(F.array(F.lit(""), F.lit("")), t), -2).alias("w2"), F.element_at(F.concat(F.array(F.lit("")), t), -1).alias("w1"),
-    )
+    ).distinct()
 
 
 def ratios(feat: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -183,8 +195,9 @@ def ratios(feat: DataFrame, pairs: DataFrame) -> DataFrame:
     word = pairs.groupBy("w1").agg(F.sum("n").alias("n1"), F.sum("ends").alias("e1"))
     tails = feat.where("kind = 'word'").select("w2", "w1").distinct()
     known = tails.join(pairs, ["w2", "w1"], "left").join(word, "w1", "left")
-    after = pairs.select("w2", F.col("w1").alias("x"))
-    broken = known.where("n is null").select("w2", "w1").join(after, "w2").where("startswith(x, w1) and x <> w1").select("w2", "w1").distinct().withColumn("broken", F.lit(True))
+    # beginnings of the words that follow w2, each once, met by equality: no word meets all followers of a frequent one
+    begins = pairs.where("length(w1) > 1").select("w2", F.explode(F.transform(F.sequence(F.lit(1), F.length("w1") - 1), lambda i: F.substring(F.col("w1"), F.lit(1), i))).alias("w1"))
+    broken = known.where("n is null").select("w2", "w1").join(begins, ["w2", "w1"], "left_semi").withColumn("broken", F.lit(True))
     n1, e1, n, e = (F.coalesce(F.col(c), F.lit(0)) for c in ("n1", "e1", "n", "ends"))
     p1 = (e1 + 2 * base) / (n1 + 2)
     p = (e + 2 * p1) / (n + 2)

@@ -91,6 +91,26 @@ def test_messages_without_turn_stand_by_their_time(spark, at):
     assert [t for _, t in got["b"]] == ["one", "two", "three", "note", "four"]
 
 
+def test_offset_changes_the_order_without_turn_numbers(spark, at):
+    """The assistant's clock is 30 s ahead in one session; in another no offset fits, in a third replies can't be paired."""
+    times = {"ahead": ([100, 110, 200], [138, 148, 260]), "never": ([100, 110, 200, 300], [105, 106, 299, 360]), "unpaired": ([100, 110, 200], [120, 260]), "agree": ([100, 200], [110, 210])}
+    rows = [(f"{s}{r}{i}", s, r, t, f"{r[0]}{i}", None) for s, two in times.items() for r, ts in zip(("user", "ai"), two, strict=True) for i, t in enumerate(ts)]
+    df = messages(spark, at, rows)
+    got = {r.session_id: [t.text for t in r.turns] for r in C.conversations(df).collect()}
+    assert got == {"ahead": ["u0", "a0", "u1", "a1", "u2", "a2"], "unpaired": ["u0", "u1", "a0", "u2", "a1"], "agree": ["u0", "a0", "u1", "a1"]}
+    assert {r.session_id for r in C.verdicts(df).where("reason is null").collect()} == set(times)
+    off = {r.session_id: r for r in C.paired_offsets(C.prepared(df).select("session_id", "id", "role", "t")).collect()}
+    assert 28e6 < off["ahead"].d < 38e6 and not off["never"].clock_ok and off["agree"].d == 0 and "unpaired" not in off
+
+
+def test_order_matches_sql(spark):
+    con = duckdb.connect()
+    con.sql("set timezone = 'UTC'")
+    con.sql(f"create view messages as select * from '{DIR}/messages.parquet'")
+    cols = "session_id, pos, role, h, at_us"
+    got = {tuple(r) for r in C.p3_order(spark, DIR).select(*cols.split(", ")).collect()}
+    assert got and got == set(con.sql(f"select {cols} from ({C.P3_ORDER_SQL})").fetchall())
+
 
 # --- truncation
 
@@ -228,7 +248,17 @@ def test_packing_is_whole_and_fits(spark):
 def test_little_room_is_lost():
     sizes = np.sort(np.random.default_rng(1).integers(1, 900, 5000))[::-1]
     where, caps = P.best_fit(sizes, [256, 1024, 4096])
-    assert sizes.sum() / caps.sum() > 0.99 and len(where) == 5000
+    assert sizes.sum() / caps.sum() > 0.999 and len(where) == 5000
+
+
+def test_sizes_decide_on_capacities_jointly():
+    """Room that a small capacity fills exactly is not opened large, and several capacities are used."""
+    sizes = np.sort(np.minimum(np.exp(np.random.default_rng(3).normal(5, 1.2, 2000)).astype(int) + 1, 4096))[::-1]
+    where, caps = P.best_fit(sizes, [512, 1024, 2048, 4096])
+    held = np.bincount(where, weights=sizes)
+    assert (held <= caps).all() and min((caps == c).sum() for c in (1024, 2048, 4096)) > 5 and sizes.sum() / caps.sum() > 0.999
+    _, caps = P.best_fit(np.array([700] * 4 + [324] * 4), [1024, 4000])
+    assert sorted(caps) == [1024] * 4
 
 
 # --- leakage
