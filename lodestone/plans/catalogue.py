@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import digest, general, memory, search
+from lodestone.plans import digest, facts, general, memory, search
 
-MODULES = (general, search, memory, digest)
+MODULES = (general, search, facts, memory, digest)
 
 
 def queries():

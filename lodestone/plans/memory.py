@@ -4,114 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodestone.functions.names import norm_name
 from lodestone.operators import extract as X
-from lodestone.operators import facts as G
 from lodestone.operators import lifecycle as L
 from lodestone.operators import sessions as Q
 from lodestone.sources.tables import read_table as rt
 
-WHEN = "2025-06-01 00:00:00"
 NOW = "2026-01-01 00:00:00"
 
 
-def _facts(spark, d):
-    return rt(spark, d, "fact_ops")
-
-
-# --- facts and graph ---------------------------------------------------------------------------------------------------
-
-
-def facts_as_of(spark, d):
-    return G.as_of(_facts(spark, d), WHEN).select("s", "p", "o", F.unix_seconds("t").alias("t"), F.round("confidence", 4).alias("confidence"))
-
-
-def facts_current(spark, d):
-    return G.current(_facts(spark, d))
-
-
-def facts_close_replaced(spark, d):
-    return G.closings(_facts(spark, d)).select("s", "p", "o", F.floor(F.col("at") / 1_000_000).alias("at_s"), "replaced_by")
-
-
-def fact_history(spark, d):
-    """T5 over every subject: all usable events with their place in the history of the fact."""
-    return G.events(_facts(spark, d)).select("seq", "s", "p", "o", "action", F.unix_seconds("t").alias("t"))
-
-
-def entity_timeline(spark, d):
-    return G.timeline(_facts(spark, d))
-
-
-def entity_facts(spark, d):
-    """Current facts as sentences."""
-    return G.current(_facts(spark, d)).select("s", F.concat_ws(" ", "s", "p", "o").alias("fact"))
-
-
-def entity_intern(spark, d):
-    return G.interned(_facts(spark, d)).select("name", "entity_type", "mention_count")
-
-
-def entity_search(spark, d):
-    return G.search_entities(_facts(spark, d), ["agent", "core", "desk"])
-
-
-def kg_stats(spark, d):
-    """A6, T15."""
-    e = rt(spark, d, "triples").dropDuplicates(["triple_id"])
-    return e.agg(F.countDistinct(norm_name(F.col("subject"))).alias("subjects"), F.countDistinct(norm_name(F.col("predicate"))).alias("predicates"), F.countDistinct(norm_name(F.col("object"))).alias("objects"), F.sum(F.coalesce("is_active", F.lit(True)).cast("bigint")).alias("active"))
-
-
-def _edges(spark, d):
-    e = rt(spark, d, "triples")
-    return e.groupBy(norm_name(F.col("subject")).alias("src"), norm_name(F.col("predicate")).alias("label"), norm_name(F.col("object")).alias("dst")).agg(F.max("confidence").alias("confidence")).where("src <> '' and dst <> '' and label <> ''")
-
-
-def neighbors_both(spark, d):
-    return G.neighbours(_edges(spark, d)).withColumn("confidence", F.round("confidence", 4))
-
-
-def path_min_depth(spark, d):
-    """Steps from one subject to every node, up to three, over current edges."""
-    e = _edges(spark, d)
-    start = e.agg(F.min("src").alias("origin"))
-    return G.reachable(e, start).select("node", "depth")
-
-
-def path_as_of(spark, d):
-    """The same over the facts as of a time."""
-    e = G.as_of(_facts(spark, d), WHEN).select(F.col("s").alias("src"), F.col("o").alias("dst"))
-    return G.reachable(e, e.agg(F.min("src").alias("origin"))).select("node", "depth")
-
-
-def transitive_closure(spark, d):
-    """Customers, nations and regions under each region, along one predicate."""
-    n, c = rt(spark, d, "nation"), rt(spark, d, "customer")
-    e = n.select(F.concat(F.lit("r"), "n_regionkey").alias("src"), F.concat(F.lit("n"), "n_nationkey").alias("dst")).unionByName(c.select(F.concat(F.lit("n"), "c_nationkey").alias("src"), F.concat(F.lit("c"), "c_custkey").alias("dst")))
-    start = rt(spark, d, "region").select(F.concat(F.lit("r"), "r_regionkey").alias("origin"))
-    return G.reachable(e, start, 3, directed=True).groupBy("origin", "depth").agg(F.count("*").alias("nodes"))
-
-
-def triples_decode(spark, d):
-    """The star of dictionaries decoded; Spark broadcasts the small ones by their size."""
-    c, n, r = rt(spark, d, "customer"), rt(spark, d, "nation"), rt(spark, d, "region")
-    return c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey).select("c_name", "n_name", "r_name")
-
-
-def relations_left_join(spark, d):
-    """Nations with customers or suppliers, either end missing."""
-    n = rt(spark, d, "nation")
-    c = rt(spark, d, "customer").groupBy("c_nationkey").agg(F.count("*").alias("customers"))
-    s = rt(spark, d, "supplier").groupBy("s_nationkey").agg(F.count("*").alias("suppliers"))
-    return n.join(c, n.n_nationkey == c.c_nationkey, "left").join(s, n.n_nationkey == s.s_nationkey, "left").where("customers is not null or suppliers is not null").select("n_name", "customers", "suppliers")
-
-
-def top_edges(spark, d):
-    """The eight heaviest parts of each supplier."""
-    x = rt(spark, d, "lineitem").groupBy("l_suppkey", "l_partkey").agg(F.round(F.sum("l_quantity"), 2).alias("weight"))
-    return L.keep_newest(x, "l_suppkey", [F.desc("weight"), "l_partkey"], 8)
-
-
 # --- extraction --------------------------------------------------------------------------------------------------------
 
 
@@ -311,35 +211,15 @@ def session_export(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        facts_as_of, facts_current, facts_close_replaced, fact_history, entity_timeline, entity_facts, entity_intern, entity_search, kg_stats, neighbors_both, path_min_depth, path_as_of, transitive_closure, triples_decode,
-        relations_left_join, top_edges, extract_memories, extraction_stats, extract_triples, infer_prefs, lesson_mining, propose_lessons, keywords_topn, entity_heuristics, conv_stats, kb_stats, table_counts, session_stats,
+        extract_memories, extraction_stats, extract_triples, infer_prefs, lesson_mining, propose_lessons, keywords_topn, entity_heuristics, conv_stats, kb_stats, table_counts, session_stats,
         sessions_without_messages, messages_page, session_gap20, session_end_marker, session_summary, context_budget, rate_window, rate_fixed_window, metrics_by_type, ttl_cleanup, keep_newest_n, age_prune, decay_score,
         lessons_dedupe_strict, lessons_dedupe_loose, latest_wins_upsert, pref_lock_fold, import_merge_actions, audit_filter, gdpr_erase, episode_fingerprints, working_memory, session_export,
     )
 }
 
-_N = r"lower(trim(regexp_replace({0}, '\s+', ' ', 'g')))"
-_EV = f"""ev as (select distinct seq, {_N.format('subject')} s, {_N.format('predicate')} p, {_N.format('object')} o, {_N.format('action')} a, coalesce(observed_at, created_at) t, confidence from fact_ops),
-e as (select * from ev where s <> '' and p <> '' and o <> '' and t is not null and a in ('assert', 'retract'))"""
-_SEG = """sg as (select *, sum((a = 'assert')::int) over k g, last_value(case when a = 'assert' then o end ignore nulls) over k v from e where p in ('works_for', 'belongs_to', 'prefers') window k as (partition by s, p order by t, seq rows unbounded preceding)),
-s1 as (select s, p, g, v o, min(case when a = 'assert' then t end) t0, min(case when a = 'retract' and o = v then t end) r from sg where g > 0 group by s, p, g, v),
-s2 as (select *, coalesce(r, lead(t0) over (partition by s, p order by g)) t1 from s1),
-s3 as (select *, case when lag(o) over k = o and lag(t1) over k = t0 then 0 else 1 end nw from s2 where t1 is null or t1 > t0 window k as (partition by s, p order by g)),
-s4 as (select *, sum(nw) over (partition by s, p order by g) i from s3),
-vv as (select s, p, o, min(t0) t0, case when count(*) = count(t1) then max(t1) end t1 from s4 group by s, p, o, i)"""
-_CUR = f"""{_EV}, {_SEG}, cur as (select s, p, o, floor(epoch(t0))::bigint since from vv where t1 is null union all
-select s, p, o, floor(epoch(t))::bigint from (select *, row_number() over (partition by s, p, o order by t desc, seq desc) k from e where p not in ('works_for', 'belongs_to', 'prefers')) where k = 1 and a = 'assert')"""
-_ED = f"""ed as (select {_N.format('subject')} src, {_N.format('predicate')} label, {_N.format('object')} dst, max(confidence) confidence from triples group by 1, 2, 3)"""
-_ASOF = "aso as (select s, p, o, t, confidence from (select *, row_number() over (partition by s, p, o order by t desc, seq desc) k from e where t <= timestamptz '2025-06-01 00:00:00+00') where k = 1 and a = 'assert')"
-_BFS = """, u as (select src, dst from {0} union select dst, src from {0}), b as (select (select min(src) from {0}) node, 0 depth union select u.dst, b.depth + 1 from b join u on u.src = b.node where b.depth < 3)
-select node, min(depth)::int as depth from b group by node"""
 _M = "m as (select * from (select *, row_number() over (partition by id) k from messages) where k = 1)"
 
 
-def _class_sql(c: str) -> str:
-    return "case " + " ".join(f"when regexp_matches(lower({c}), '{'|'.join(w)}') then '{n}'" for n, w in G.ENTITY_WORDS) + " else 'entity' end"
-
-
 def _strip(c: str) -> str:
     return rf"regexp_replace(regexp_replace({c}, '^\s+', ''), '\s+$', '')"
 
@@ -360,29 +240,6 @@ l4 as (select doc_id, line_no, regexp_replace({_strip('c')}, '\s+', ' ', 'g') le
 l5 as (select doc_id, line_no, case when length(lesson) > 320 then substr(lesson, 1, 320) || '…' else lesson end lesson, score from l4 where length(lesson) >= 18)"""
 
 SQL = {
-    "facts_as_of": f"with {_EV}, {_ASOF} select s, p, o, floor(epoch(t))::bigint as t, round(confidence, 4) as confidence from aso",
-    "facts_current": f"with {_CUR} select * from cur",
-    "facts_close_replaced": f"with {_EV}, {_SEG} select a.s, a.p, a.o, floor(epoch(a.t1))::bigint as at_s, b.o as replaced_by from vv a join vv b on a.s = b.s and a.p = b.p and a.t1 = b.t0",
-    "fact_history": f"with {_EV} select seq, s, p, o, a as action, floor(epoch(t))::bigint as t from e",
-    "entity_timeline": f"""with {_EV}, f as (select s entity, 'out' side, * from e union all select o, 'in', * from e),
-l as (select entity, side, s, p, o, arg_max(a, (t, seq)) la, count(*) n, count(*) filter (a = 'assert') asr, min(t) t0, max(t) t1 from f group by entity, side, s, p, o)
-select entity, sum(n)::bigint as total_events, sum(asr)::bigint as asserts, sum(n - asr)::bigint as retracts, floor(epoch(min(t0)))::bigint as first_s, floor(epoch(max(t1)))::bigint as last_s, count(*) filter (la = 'assert') as active from l group by entity""",
-    "entity_facts": f"with {_CUR} select s, s || ' ' || p || ' ' || o as fact from cur",
-    "entity_intern": f"with {_EV}, n as (select s as name from e where a = 'assert' union all select o from e where a = 'assert') select name, {_class_sql('name')} as entity_type, count(*) as mention_count from n group by name",
-    "entity_search": f"""with {_EV}, z as (select s as name, 0 r, count(*) n from e group by s union all select o, 1, count(*) from e group by o),
-h as (select *, contains(name, 'agent')::int + contains(name, 'core')::int + contains(name, 'desk')::int hits from z)
-select name, case when min(r) = 0 then 'subject' else 'object' end as role, arg_min(n, r) as mentions, round(max(hits) + 0.01::double * arg_min(n, r), 4) as score from h where hits > 0 group by name""",
-    "kg_stats": f"with t as (select distinct triple_id, subject, predicate, object, is_active from triples) select count(distinct {_N.format('subject')}) as subjects, count(distinct {_N.format('predicate')}) as predicates, count(distinct {_N.format('object')}) as objects, sum(coalesce(is_active, true)::int)::bigint as active from t",
-    "neighbors_both": f"""with {_ED}, x as (select src node, 'out' direction, dst other, label, confidence from ed where src <> '' and dst <> '' and label <> '' union all select dst, 'in', src, label, confidence from ed where src <> '' and dst <> '' and label <> ''),
-r as (select *, row_number() over (partition by node, direction order by confidence desc nulls last, label, other) k from x) select node, direction, other, label, round(confidence, 4) as confidence from r where k <= 20""",
-    "path_min_depth": f"with recursive {_ED}, ee as (select src, dst from ed where src <> '' and dst <> '' and label <> '')" + _BFS.format("ee"),
-    "path_as_of": f"with recursive {_EV}, {_ASOF}, ee as (select s src, o dst from aso)" + _BFS.format("ee"),
-    "transitive_closure": """with x as (select 'r' || n_regionkey origin, 1 depth from nation union all select 'r' || n_regionkey, 2 from nation join customer on c_nationkey = n_nationkey union all select 'r' || r_regionkey, 0 from region)
-select origin, depth, count(*) as nodes from x group by origin, depth""",
-    "triples_decode": "select c_name, n_name, r_name from customer join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey",
-    "relations_left_join": """select n_name, customers, suppliers from nation left join (select c_nationkey, count(*) customers from customer group by 1) c on n_nationkey = c_nationkey
-left join (select s_nationkey, count(*) suppliers from supplier group by 1) s on n_nationkey = s_nationkey where customers is not null or suppliers is not null""",
-    "top_edges": "select l_suppkey, l_partkey, weight from (select *, row_number() over (partition by l_suppkey order by weight desc, l_partkey) k from (select l_suppkey, l_partkey, round(sum(l_quantity), 2) weight from lineitem group by 1, 2)) where k <= 8",
     "extract_memories": f"with ln as {_LN}, m as ({_MEM}) select doc_id, memory_type, count(*) as n, min(sha1(c)) as h from m where length(c) between 11 and 499 group by 1, 2",
     "extraction_stats": f"with ln as {_LN}, m as ({_MEM}) select memory_type, count(*) as n, count(distinct doc_id) as documents from m where length(c) between 11 and 499 group by 1",
     "extract_triples": f"with ln as {_LN}, t as (select distinct * from ({_TRI}) where length(s) > 2 and length(o) > 2) select doc_id, predicate, count(*) as n, min(sha1(s || '|' || o)) as h from t group by 1, 2",
