@@ -1,4 +1,4 @@
-"""Retention, maintenance and change of stored rows."""
+"""Retention and change of stored rows."""
 
 from __future__ import annotations
 
@@ -15,8 +15,10 @@ def alive(df: DataFrame, expires, now: str) -> DataFrame:
 
 
 def keep_newest(df: DataFrame, key: str | None, order: list, n: int) -> DataFrame:
-    """The newest n rows of each key; spark keeps n a task before it shuffles."""
-    w = (Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))).orderBy(*order)
+    """The newest n rows of each key, or of all; Spark keeps n a task before it shuffles."""
+    if key is None:
+        return df.orderBy(*order).limit(n)
+    w = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
@@ -26,10 +28,12 @@ def decayed(c, now: str, rate: float = 0.9, days: float = 30.0):
 
 
 def duplicate_lessons(df: DataFrame, loose: bool = False) -> DataFrame:
-    """A10: texts of one normal form: the newest row wins (then the lower id), with the number of aliases."""
-    x = df.withColumn("h", F.sha2(loose_form("text") if loose else strict_form("text"), 256)).where((loose_form("text") if loose else strict_form("text")) != "")
+    """A10: texts of one normal form: the newest row wins (then the lower id): doc_id, winner of every other row."""
+    form = loose_form("text") if loose else strict_form("text")
+    x = df.select("doc_id", "created_at", form.alias("f")).where("f <> ''").select("doc_id", "created_at", F.sha2("f", 256).alias("h"))
     newest = F.max_by("doc_id", F.struct(F.coalesce(F.unix_micros("created_at"), F.lit(-1)), -F.col("doc_id")))
-    return x.groupBy("h").agg(newest.alias("winner"), (F.count("*") - 1).alias("aliases")).where("aliases > 0").select("winner", "aliases")
+    best = x.groupBy("h").agg(newest.alias("winner"), F.count("*").alias("n")).where("n > 1")
+    return x.join(best, "h").where("doc_id <> winner").select("doc_id", "winner")
 
 
 def locked_preferences(log: DataFrame) -> DataFrame:

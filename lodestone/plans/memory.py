@@ -1,4 +1,4 @@
-"""Queries of facts, graph, extraction, sessions and lifecycle with the SQL they are checked with."""
+"""Queries of extraction, sessions and lifecycle with the SQL they are checked with."""
 
 from __future__ import annotations
 
@@ -33,8 +33,9 @@ def extract_triples(spark, d):
 
 
 def infer_prefs(spark, d):
-    x = rt(spark, d, "messages").select("id", F.col("content").alias("text")).where("text is not null").distinct()
-    return X.inferred_preferences(x)
+    """X3 over every document, its label put into words before it as a wish."""
+    wish = F.when(F.lower("lang") == "en", "Answer in English").when(F.lower("lang") == "ru", "Отвечай на русском").when(F.lower("lang") == "uk", "Відповідай українською").when(F.col("lang").isNull(), "All code must be in English").otherwise("Prices in UAH")
+    return X.inferred_preferences(_docs(spark, d).select(F.col("doc_id").alias("id"), F.concat_ws(". ", wish, "text").alias("text")))
 
 
 def lesson_mining(spark, d):
@@ -42,13 +43,23 @@ def lesson_mining(spark, d):
 
 
 def propose_lessons(spark, d):
-    return X.proposals(_docs(spark, d)).select("lesson", "score", "mentions")
+    return X.proposals(_docs(spark, d)).select("key", "lesson", "score", "mentions")
+
+
+def propose_prefs(spark, d):
+    """The same wishes, added up."""
+    wish = F.when(F.lower("lang") == "en", "Answer in English").when(F.lower("lang") == "ru", "Отвечай на русском").when(F.lower("lang") == "uk", "Відповідай українською").when(F.col("lang").isNull(), "All code must be in English").otherwise("Prices in UAH")
+    return X.preference_proposals(_docs(spark, d).select(F.col("doc_id").alias("id"), F.col("created_at").alias("at"), wish.alias("text")))
 
 
 def keywords_topn(spark, d):
     return X.keywords(_docs(spark, d))
 
 
+def identifiers_topn(spark, d):
+    return X.identifiers(_docs(spark, d))
+
+
 def entity_heuristics(spark, d):
     return X.entity_hints(_docs(spark, d))
 
@@ -56,18 +67,21 @@ def entity_heuristics(spark, d):
 # --- sessions ----------------------------------------------------------------------------------------------------------
 
 
-def _messages(spark, d):
-    return rt(spark, d, "messages").dropDuplicates(["id"])
+def _messages(spark, d, *cols):
+    """Messages without repeated rows, in the columns asked for."""
+    x = rt(spark, d, "messages")
+    return (x.select("id", *cols) if cols else x).distinct()
 
 
 def conv_stats(spark, d):
     """A3."""
-    return _messages(spark, d).groupBy(F.coalesce("role", F.lit("")).alias("role")).agg(F.count("*").alias("messages"), F.countDistinct("session_id").alias("sessions"), F.sum(F.length("content")).alias("chars"))
+    x = _messages(spark, d, "role", "session_id", F.length("content").alias("chars"))
+    return x.groupBy(F.coalesce("role", F.lit("")).alias("role")).agg(F.count("*").alias("messages"), F.countDistinct("session_id").alias("sessions"), F.sum("chars").alias("chars"))
 
 
 def kb_stats(spark, d):
     """A4."""
-    return _docs(spark, d).groupBy("doc_kind").agg(F.count("*").alias("documents"), F.countDistinct("source").alias("sources"), F.sum(F.length("text")).alias("chars"))
+    return _docs(spark, d).groupBy("doc_kind", F.col("n_chars").isNotNull().alias("counted")).agg(F.count("*").alias("documents"), F.countDistinct("source").alias("sources"), F.sum(F.length("text")).alias("chars"))
 
 
 def table_counts(spark, d):
@@ -80,12 +94,18 @@ def table_counts(spark, d):
 
 
 def session_stats(spark, d):
-    """Sessions and reports by status."""
+    """Sessions and reports by status."""
     s = rt(spark, d, "sessions")
     r = rt(spark, d, "session_reports").select(F.col("session_id").alias("id")).distinct().withColumn("has", F.lit(1))
     return s.join(r, "id", "left").groupBy("session_status").agg(F.count("*").alias("sessions"), F.count("has").alias("reported"), F.sum(F.coalesce("archived", F.lit(False)).cast("bigint")).alias("archived"))
 
 
+def reports_of_closed(spark, d):
+    """Reports of sessions that are completed or ended."""
+    closed = rt(spark, d, "sessions").where("session_status in ('completed', 'ended')").select(F.col("id").alias("session_id"))
+    return rt(spark, d, "session_reports").select("session_id", "writer", "entries_stored").distinct().join(closed, "session_id", "left_semi")
+
+
 def sessions_without_messages(spark, d):
     """J6, U6."""
     return rt(spark, d, "sessions").select("id").join(rt(spark, d, "messages").select(F.col("session_id").alias("id")), "id", "left_anti")
@@ -93,7 +113,7 @@ def sessions_without_messages(spark, d):
 
 def messages_page(spark, d):
     """K1: the second page of 50 messages, newest first."""
-    return _messages(spark, d).select("id", F.unix_micros("created_at").alias("t")).orderBy(F.desc("t"), "id").offset(50).limit(50)
+    return _messages(spark, d, F.unix_micros("created_at").alias("t")).orderBy(F.desc("t"), "id").offset(50).limit(50)
 
 
 def session_gap20(spark, d):
@@ -101,13 +121,18 @@ def session_gap20(spark, d):
 
 
 def session_end_marker(spark, d):
-    return Q.ended_by_marker(rt(spark, d, "events").dropDuplicates(["event_id"]), "user_id", "ts", F.col("event_type") == "error")
+    """ST5 on message texts; a closed session says so at its end."""
+    m = _messages(spark, d, "session_id", F.col("created_at").alias("ts"), Q.is_end(F.col("content")).alias("end")).where("session_id <> ''")
+    ends = rt(spark, d, "sessions").where("ended_at is not null").select(F.concat(F.lit("end-"), "id").alias("id"), F.col("id").alias("session_id"), F.col("ended_at").alias("ts"), Q.is_end(F.lit("Session ended.")).alias("end"))
+    return Q.ended_by_marker(m.unionByName(ends), "session_id", "ts", F.col("end"), "id")
 
 
 def session_summary(spark, d):
-    """The first ten distinct roles and their counts of each session, in writing."""
-    x = _messages(spark, d).where("session_id <> ''").groupBy("session_id", F.lower(F.trim(F.coalesce("role", F.lit("?")))).alias("r")).agg(F.count("*").alias("n"))
-    return x.groupBy("session_id").agg(F.array_join(F.slice(F.array_sort(F.collect_list(F.concat_ws("=", "r", F.col("n").cast("string")))), 1, 10), " | ").alias("summary"))
+    """The titles (roles and the first words of the text) of the first ten messages of each session, in order."""
+    m = rt(spark, d, "messages").where("session_id <> '' and created_at is not null").select("id", "session_id", "created_at", F.concat_ws(": ", F.coalesce("role", F.lit("?")), F.substring(F.coalesce("content", F.lit("")), 1, 40)).alias("title")).distinct()
+    x = L.keep_newest(m, "session_id", ["created_at", "id", "title"], 10)
+    titles = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("created_at", "id", "title"))), lambda v: v["title"]), " | ")
+    return x.groupBy("session_id").agg(F.count("*").alias("n"), F.sha1(titles).alias("h"))
 
 
 def context_budget(spark, d):
@@ -118,12 +143,14 @@ def context_budget(spark, d):
 
 
 def rate_window(spark, d):
-    return Q.daily_rate(rt(spark, d, "events"), "user_id", "ts", 3600, 3)
+    """ST6: calls that a limit of two an hour and five a day denies, per user."""
+    x = Q.rate_limited(rt(spark, d, "events"), "user_id", "ts", "event_id", ((3600, 2), (86400, 5)))
+    return x.groupBy("user_id").agg(F.sum((~F.col("allowed")).cast("bigint")).alias("denied"), F.count("*").alias("calls"), F.sum(F.col("left").cast("bigint")).alias("left_after"))
 
 
 def rate_fixed_window(spark, d):
-    """ST7: users and hours with more than three events."""
-    x = rt(spark, d, "events").groupBy("user_id", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 3600).alias("hour")).agg(F.count("*").alias("n"))
+    """ST7: users and days with more than three events; denied ones count."""
+    x = rt(spark, d, "events").groupBy("user_id", F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86400).alias("day")).agg(F.count("*").alias("n"))
     return x.where("n > 3")
 
 
@@ -135,9 +162,15 @@ def metrics_by_type(spark, d):
 # --- lifecycle ---------------------------------------------------------------------------------------------------------
 
 
+def metrics_error_rate(spark, d):
+    """Calls and share of errors per user."""
+    return rt(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("calls"), F.round(F.avg((F.col("event_type") == "error").cast("double")), 6).alias("error_rate"))
+
+
 def ttl_cleanup(spark, d):
-    x = L.alive(rt(spark, d, "events"), F.col("ts") + F.expr("interval 15 days"), "2024-01-20 00:00:00")
-    return x.groupBy("event_type").agg(F.count("*").alias("alive"))
+    """What a time to live of 15 days keeps of each type, and what is over."""
+    now = F.lit("2024-01-20 00:00:00").cast("timestamp")
+    return rt(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("ts") + F.expr("interval 15 days") > now).alias("alive"), F.count_if(F.col("ts") + F.expr("interval 15 days") <= now).alias("expired"))
 
 
 def keep_newest_n(spark, d):
@@ -211,13 +244,13 @@ def session_export(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        extract_memories, extraction_stats, extract_triples, infer_prefs, lesson_mining, propose_lessons, keywords_topn, entity_heuristics, conv_stats, kb_stats, table_counts, session_stats,
-        sessions_without_messages, messages_page, session_gap20, session_end_marker, session_summary, context_budget, rate_window, rate_fixed_window, metrics_by_type, ttl_cleanup, keep_newest_n, age_prune, decay_score,
+        extract_memories, extraction_stats, extract_triples, infer_prefs, lesson_mining, propose_lessons, propose_prefs, keywords_topn, identifiers_topn, entity_heuristics, conv_stats, kb_stats, table_counts, session_stats, reports_of_closed,
+        sessions_without_messages, messages_page, session_gap20, session_end_marker, session_summary, context_budget, rate_window, rate_fixed_window, metrics_by_type, metrics_error_rate, ttl_cleanup, keep_newest_n, age_prune, decay_score,
         lessons_dedupe_strict, lessons_dedupe_loose, latest_wins_upsert, pref_lock_fold, import_merge_actions, audit_filter, gdpr_erase, episode_fingerprints, working_memory, session_export,
     )
 }
 
-_M = "m as (select * from (select *, row_number() over (partition by id) k from messages) where k = 1)"
+_M = "m as (select distinct * from messages)"
 
 
 def _strip(c: str) -> str:
@@ -228,45 +261,71 @@ def _esc(p: str) -> str:
     return p.replace("'", "''")
 
 
-_LN = "(select doc_id, line from (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line from documents) where line <> '')"
-_MEM = " union all ".join(rf"select doc_id, '{k}' memory_type, {_strip(f"regexp_extract(line, '(?i){_esc(p)}')")} c from ln where regexp_matches(line, '(?i){_esc(p)}')" for k, ps in X.MEMORIES for p in ps)
-_TRI = " union all ".join(rf"select doc_id, '{k}' predicate, lower({_strip(f"regexp_extract(line, '(?i){_esc(p)}', 1)")}) s, lower({_strip(f"regexp_extract(line, '(?i){_esc(p)}', 2)")}) o from ln where regexp_matches(line, '(?i){_esc(p)}')" for k, p in X.TRIPLES)
-_DUP = r"""with x as (select doc_id, created_at, {0} n from documents) select arg_max(doc_id, (coalesce(epoch_us(created_at), -1), -doc_id)) as winner, count(*) - 1 as aliases from x where n <> '' group by n having count(*) > 1"""
+_MEM = " union all ".join(rf"select doc_id, '{k}' memory_type, {_strip('c')} c from (select doc_id, unnest(regexp_extract_all(text, '(?i){_esc(p)}')) c from documents)" for k, ps in X.MEMORIES for p in ps)
+_TRI = " union all ".join(rf"select doc_id, '{k}' predicate, lower({_strip('a')}) s, lower({_strip('b')}) o from (select doc_id, unnest(regexp_extract_all(text, '(?i){_esc(p)}', 1)) a, unnest(regexp_extract_all(text, '(?i){_esc(p)}', 2)) b from documents)" for k, p in X.TRIPLES)
+_DUP = r"""with x as (select doc_id, first_value(doc_id) over (partition by n order by coalesce(epoch_us(created_at), -1) desc, doc_id) winner from (select doc_id, created_at, {0} n from documents) where n <> '') select doc_id, winner from x where doc_id <> winner"""
 _STRICT = rf"regexp_replace({_strip('lower(coalesce(text, chr(39)||chr(39)))'.replace('chr(39)||chr(39)', chr(39) * 2))}, '\s+', ' ', 'g')"
 _LOOSE = rf"trim(regexp_replace(regexp_replace({_STRICT}, '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
-_LESSON = rf"""l0 as (select doc_id, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) line_no, unnest(string_split(coalesce(text, ''), chr(10))) raw from documents),
-l1 as (select doc_id, line_no, {_strip('raw')} a from l0), l2 as (select *, regexp_replace(a, '{_esc(X.LESSON_MARK)}', '') b from l1 where a <> ''), l3 as (select *, regexp_replace(b, '^[-*•]\s+', '') c from l2),
-l4 as (select doc_id, line_no, regexp_replace({_strip('c')}, '\s+', ' ', 'g') lesson, round(case when a <> b then 0.8::double else 0 end + case when b <> c then 0.4::double else 0 end {''.join(f" + case when regexp_matches(c, '{_esc(p)}') then {n}::double else 0 end" for p, n in X.LESSON_SIGNS)}, 2) score from l3),
-l5 as (select doc_id, line_no, case when length(lesson) > 320 then substr(lesson, 1, 320) || '…' else lesson end lesson, score from l4 where length(lesson) >= 18)"""
+# the lists in their own words; RE2 knows no word ends beside letters outside ASCII
+_SIGNS = {
+    r"(^|\W)(never|must|should|do not)($|\W)": 0.25, r"(^|\W)(don't\s+need|cannot|always|never)($|\W)": 0.25, r"(^|[^\p{L}\p{N}_])(не\s+надо|нельзя|всегда|никогда)($|[^\p{L}\p{N}_])": 0.25,
+    r"(^|[^\p{L}\p{N}_])(не\s+потрібно|не\s+можна|завжди|ніколи)($|[^\p{L}\p{N}_])": 0.25, r"(^|[^\p{L}\p{N}_])(bug|fix|error[\p{L}\p{N}_]*|repair[\p{L}\p{N}_]*)($|[^\p{L}\p{N}_])": 0.15,
+    r"(^|[^\p{L}\p{N}_])(ошибк|почин|помилк|виправ)": 0.15,
+}
+_MARK = r"(?i)^\s*(lesson|rule|note|fix|decision|takeaway|important|conclusion|важно|вывод|правило|заметка|решение|важливо|висновок|нотатка|рішення)\s*[:\-—]+\s*"
+_LESSON = rf"""l0 as (select doc_id, unnest(range(0, len(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10))))) line_no, unnest(string_split(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(10))) raw from documents),
+l1 as (select doc_id, line_no, {_strip('raw')} a from l0), l2 as (select *, {_strip(f"regexp_replace(a, '{_MARK}', '')")} b from l1 where a <> ''), l3 as (select *, {_strip("regexp_replace(b, '^[-*•]\\s+', '')")} c from l2),
+l4 as (select doc_id, line_no, regexp_replace(c, '\s+', ' ', 'g') lesson, round(case when a <> b then 0.8::double else 0 end + case when b <> c then 0.4::double else 0 end {''.join(f" + case when regexp_matches(c, '(?i){_esc(p)}') then {n}::double else 0 end" for p, n in _SIGNS.items())}, 2) score from l3),
+l5 as (select doc_id, line_no, case when length(lesson) > 320 then {_strip('substr(lesson, 1, 320)')} || '…' else lesson end lesson, score from l4 where length(lesson) >= 18 and regexp_matches(lesson, '\p{{L}}'))"""
+_STOP = """this that what how where when why because therefore was will have has been being make done это что как где когда почему потому было будет есть быть иметь сделать
+ це як де коли чому тому було буде бути мати зробити"""
+_WISH = "case when lower(lang) = 'en' then 'style.language' when lower(lang) = 'ru' then 'style.language' when lower(lang) = 'uk' then 'style.language' when lang is null then 'style.code_language' else 'finance.currency' end"
+_WISHED = "case when lower(lang) in ('en', 'ru', 'uk') then lower(lang) when lang is null then 'en' else 'UAH' end"
 
 SQL = {
-    "extract_memories": f"with ln as {_LN}, m as ({_MEM}) select doc_id, memory_type, count(*) as n, min(sha1(c)) as h from m where length(c) between 11 and 499 group by 1, 2",
-    "extraction_stats": f"with ln as {_LN}, m as ({_MEM}) select memory_type, count(*) as n, count(distinct doc_id) as documents from m where length(c) between 11 and 499 group by 1",
-    "extract_triples": f"with ln as {_LN}, t as (select distinct * from ({_TRI}) where length(s) > 2 and length(o) > 2) select doc_id, predicate, count(*) as n, min(sha1(s || '|' || o)) as h from t group by 1, 2",
-    "infer_prefs": "with r as (" + " union all ".join(f"select id, '{k}' as key, '{v}' as value, {i} i from messages where regexp_matches(content, '(?i){_esc(p)}')" for i, (k, v, p) in enumerate(X.PREFERENCES)) + ") select id, key, arg_max(value, i) as value from r group by 1, 2",
+    "extract_memories": f"with m as ({_MEM}) select doc_id, memory_type, count(*) as n, min(sha1(c)) as h from m where length(c) between 11 and 499 group by 1, 2",
+    "extraction_stats": f"with m as ({_MEM}) select memory_type, count(*) as n, count(distinct doc_id) as documents from m where length(c) between 11 and 499 group by 1",
+    "extract_triples": f"with t as (select distinct * from ({_TRI}) where length(s) > 2 and length(o) > 2) select doc_id, predicate, count(*) as n, min(sha1(s || '|' || o)) as h from t group by 1, 2",
+    "infer_prefs": f"""with w as (select doc_id, 1 i, {_WISH} k, {_WISHED} v from documents union all select doc_id, 2, 'style.language', 'en' from documents where lang is null union all
+ select doc_id, 3, 'finance.currency', 'UAH' from documents where regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}_])(гривн|грн($|[^\\p{{L}}\\p{{N}}_])|uah($|[^\\p{{L}}\\p{{N}}_]))'))
+select doc_id as id, k as key, arg_max(v, i) as value from w group by 1, 2""",
     "lesson_mining": f"with {_LESSON} select doc_id, line_no, sha1(lesson) as h, score from l5",
-    "propose_lessons": f"with {_LESSON} select lower(lesson) as lesson, max(score) as score, count(*) as mentions from l5 where score > 0 group by 1 order by score desc, mentions desc, lesson limit 10",
-    "keywords_topn": rf"""with t as (select doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}{{4,}}'), lambda w: not list_contains({X.STOP!r}, w)) l from documents),
+    "propose_lessons": f"with {_LESSON} select 'lesson:' || substr(sha1(lower(lesson)), 1, 12) as key, lower(lesson) as lesson, max(score) as score, count(*) as mentions from l5 group by 1, 2 order by score desc, mentions desc, lesson limit 10",
+    "propose_prefs": f"""with w as (select doc_id, created_at t, {_WISH} k, {_WISHED} v from documents union all select doc_id, created_at, 'style.language', 'en' from documents where lang is null)
+select k as key, arg_max(v, (coalesce(epoch_us(t), -1), doc_id)) as value, round(count(*) * 0.2::double, 4) as score from w group by 1""",
+    "identifiers_topn": r"""with t as (select doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z_][a-z0-9_\-]{2,}')) word from documents),
+g as (select doc_id, word, count(*) n from t where word not in ('the', 'and', 'for', 'with', 'that', 'this', 'from', 'return', 'import', 'const', 'function', 'class', 'async', 'await', 'true', 'false', 'none', 'null') group by 1, 2)
+select doc_id, word, n, rank from (select *, (row_number() over (partition by doc_id order by n desc, word))::int rank from g) where rank <= 8""",
+    "keywords_topn": rf"""with t as (select doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '\p{{L}}{{4,}}'), lambda w: not list_contains(string_split_regex('{_STOP}', '\s+'), w)) l from documents),
 w as (select doc_id, unnest(l) word, unnest(range(0, len(l))) i from t), g as (select doc_id, word, count(*) n, min(i) i from w group by 1, 2), r as (select *, row_number() over (partition by doc_id order by n desc, i) k from g)
 select doc_id, word, n, k::int as rank from r where k <= 10""",
-    "entity_heuristics": r"select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '\d{4}-\d{2}-\d{2}'))), ',') as dates, len(list_distinct(regexp_extract_all(coalesce(text, ''), '\p{Lu}\p{Ll}{3,}'))) as n_capitalised from documents",
+    "entity_heuristics": r"""select doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(text, ''), '\d{1,2}[./-]\d{1,2}[./-]\d{2,4}|\d{4}[./-]\d{1,2}[./-]\d{1,2}'))), ',') as dates,
+ len(list_distinct(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: regexp_matches(w, '^\p{Lu}(?s:.{3})')))) as names,
+ array_to_string(list_filter(['created', 'updated', 'delete', 'added', 'configured', 'started', 'done'], lambda a: contains(lower(coalesce(text, '')), a)), ',') as actions from documents""",
     "conv_stats": f"with {_M} select coalesce(role, '') as role, count(*) as messages, count(distinct session_id) as sessions, sum(length(content))::bigint as chars from m group by 1",
-    "kb_stats": "select doc_kind, count(*) as documents, count(distinct source) as sources, sum(length(text))::bigint as chars from documents group by 1",
+    "kb_stats": "select doc_kind, n_chars is not null as counted, count(*) as documents, count(distinct source) as sources, sum(length(text))::bigint as chars from documents group by 1, 2",
+    "reports_of_closed": "select distinct session_id, writer, entries_stored from session_reports where session_id in (select id from sessions where session_status in ('completed', 'ended'))",
+    "metrics_error_rate": "select user_id, count(*) as calls, round(avg((event_type = 'error')::int::double), 6) as error_rate from events group by 1",
     "table_counts": " union all ".join(f"select '{t}' as name, count(*) as n from {t}" for t in ("sessions", "session_reports", "messages", "fact_ops", "triples", "documents", "eval_items", "events")),
     "session_stats": "select session_status, count(*) as sessions, count(r.session_id) as reported, sum(coalesce(archived, false)::int)::bigint as archived from sessions s left join (select distinct session_id from session_reports) r on s.id = r.session_id group by 1",
     "sessions_without_messages": "select id from sessions where id not in (select session_id from messages where session_id is not null)",
     "messages_page": f"with {_M} select id, epoch_us(created_at) as t from m order by t desc, id limit 50 offset 50",
     "session_gap20": """with x as (select user_id, ts, case when lag(ts) over (partition by user_id order by ts) > ts - interval 20 minute then 0 else 1 end n from events), y as (select *, sum(n) over (partition by user_id order by ts) g from x)
 select user_id, floor(epoch(min(ts)))::bigint as start_s, floor(epoch(max(ts)))::bigint as end_s, count(*) as events from y group by user_id, g""",
-    "session_end_marker": """with x as (select user_id, (event_type = 'error')::int e, sum((event_type = 'error')::int) over (partition by user_id order by ts) u from events) select user_id, (u - e)::bigint as session, count(*) as events from x group by 1, 2""",
-    "session_summary": f"""with {_M}, x as (select session_id, lower(trim(coalesce(role, '?'))) r, count(*) n from m where session_id <> '' group by 1, 2)
-select session_id, array_to_string(list_slice(list_sort(list(r || '=' || n)), 1, 10), ' | ') as summary from x group by 1""",
+    "session_end_marker": """with x as (select distinct id, session_id, created_at ts, regexp_matches(lower(coalesce(content, '')), 'session ended|session complete|сессия закончена|сессия окончена|сесію завершено|сесія завершена')::int e from messages where session_id <> '' and created_at is not null
+ union all select 'end-' || id, id, ended_at, 1 from sessions where ended_at is not null), y as (select *, coalesce(sum(e) over (partition by session_id order by ts, id rows between unbounded preceding and 1 preceding), 0)::bigint as session from x)
+select session_id, session, count(*) as rows, max(e) as closed from y group by 1, 2""",
+    "session_summary": """with m as (select distinct id, session_id, created_at, coalesce(role, '?') || ': ' || substr(coalesce(content, ''), 1, 40) title from messages where session_id <> '' and created_at is not null),
+r as (select *, row_number() over (partition by session_id order by created_at, id, title) k from m) select session_id, count(*) as n, sha1(string_agg(title, ' | ' order by k)) as h from r where k <= 10 group by 1""",
     "context_budget": """with x as (select source, doc_id, length(text) n, coalesce(sum(length(text)) over (partition by source order by created_at desc nulls last, doc_id rows between unbounded preceding and 1 preceding), 0) used from documents where source is not null and text is not null)
 select source, doc_id, least(n, 4000 - used)::bigint as chars from x where used < 4000""",
-    "rate_window": """with x as (select user_id, count(*) over (partition by user_id order by epoch_us(ts) range between 3599999999 preceding and 1 preceding) n from events) select user_id, sum((n >= 3)::int)::bigint as denied, count(*) as events from x group by 1""",
-    "rate_fixed_window": "select user_id, floor(epoch(ts) / 3600)::bigint as hour, count(*) as n from events group by 1, 2 having count(*) > 3",
+    "rate_window": """with recursive x as (select user_id, epoch_us(ts) t, row_number() over (partition by user_id order by ts, event_id) i from events where user_id is not null and ts is not null),
+r as (select user_id, i, [t] kept, true ok, 1 used from x where i = 1 union all
+ select user_id, i, case when ok then list_append(kept, t) else kept end, ok, hr + ok::int from (select *, hr < 2 and len(list_filter(kept, lambda u: u > t - 86400000000)) < 5 ok from (select x.user_id, x.i, x.t, r.kept, len(list_filter(r.kept, lambda u: u > x.t - 3600000000)) hr from r join x on x.user_id = r.user_id and x.i = r.i + 1)))
+select user_id, sum((not ok)::int)::bigint as denied, count(*) as calls, sum(greatest(0, 2 - used))::bigint as left_after from r group by 1""",
+    "rate_fixed_window": "select user_id, floor(epoch(ts) / 86400)::bigint as day, count(*) as n from events group by 1, 2 having count(*) > 3",
     "metrics_by_type": "select event_type, count(*) as n, round(avg(value), 4) as mean, round(min(value), 4) as least, round(max(value), 4) as most from events group by 1",
-    "ttl_cleanup": "select event_type, count(*) as alive from events where ts + interval 15 day > timestamp '2024-01-20 00:00:00' group by 1",
+    "ttl_cleanup": "select event_type, count(*) filter (ts + interval 15 day > timestamp '2024-01-20 00:00:00') as alive, count(*) filter (ts + interval 15 day <= timestamp '2024-01-20 00:00:00') as expired from events group by 1",
     "keep_newest_n": "select user_id, event_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) k from events) where k <= 5",
     "age_prune": "select event_id from events where ts >= timestamp '2024-01-20 00:00:00'",
     "decay_score": "select doc_id, round(pow(0.9::double, (1767225600 - floor(epoch(created_at))) / (86400.0::double * 30)), 6) as score from documents",

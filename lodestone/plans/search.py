@@ -123,7 +123,7 @@ _CHUNK_SQL = r"""select doc_id, (row_number() over (partition by doc_id order by
 
 def chunk_neighbors(spark, d):
     ch = _chunks(spark, d)
-    x = S.neighbours(ch, ch.where("chunk_index % 20 = 0").select("doc_id", "chunk_index"))
+    x = S.neighbours(ch, ch.where("doc_id % 20 = 0").select("doc_id", "chunk_index"))
     return x.select("doc_id", F.col("hit").cast("bigint").alias("hit"), F.sha1("text").alias("h"))
 
 
@@ -142,13 +142,14 @@ def minmax_fusion(spark, d):
 
 
 def _hybrid(spark, d):
-    """BM25 and full text of each query, each to 0..1, weighted, plus the path bonus."""
+    """BM25 and full text of each query from one set of postings, each to 0..1, weighted, plus the path bonus."""
     docs, q = _docs(spark, d), _one(spark)
-    a = S.min_max(_scored(S.bm25(docs, q)), out="v").select("qid", "doc_id", F.col("v").alias("bm25"))
-    b = S.min_max(_scored(S.full_text(docs, q)), out="v").select("qid", "doc_id", F.col("v").alias("fts"))
-    x = a.join(b, ["qid", "doc_id"], "full").join(docs.select("doc_id", "path", "source", "text", "created_at"), "doc_id")
-    score = 0.3 * F.coalesce("bm25", F.lit(0.0)) + 0.5 * F.coalesce("fts", F.lit(0.0)) + T.path_bonus(F.coalesce("path", F.lit("")), ["memory", "lessons", "notes"])
-    return x.withColumn("score", F.round(score, 5))
+    posts = S.postings(docs, S.query_terms(q))
+    a = S.min_max(_scored(S.bm25(docs, q, posts=posts)), out="v").select("qid", "doc_id", F.col("v").alias("bm25"), F.lit(0.0).alias("fts"))
+    b = S.min_max(_scored(S.full_text(docs, q, posts=posts)), out="v").select("qid", "doc_id", F.lit(0.0).alias("bm25"), F.col("v").alias("fts"))
+    x = a.unionByName(b).groupBy("qid", "doc_id").agg(F.sum("bm25").alias("bm25"), F.sum("fts").alias("fts")).join(docs.select("doc_id", "path"), "doc_id")
+    score = 0.3 * F.col("bm25") + 0.5 * F.col("fts") + T.path_bonus(F.coalesce("path", F.lit("")), ["memory", "lessons", "notes"])
+    return x.select("qid", "doc_id", F.round(score, 5).alias("score"))
 
 
 def hybrid_weighted(spark, d):
@@ -166,7 +167,7 @@ join documents using (doc_id)"""
 
 def hybrid_mmr(spark, d):
     """The hybrid hits, diversified."""
-    x = _hybrid(spark, d).withColumn("toks", T.token_set("text"))
+    x = S.top_k(_hybrid(spark, d), 120).join(_docs(spark, d).select("doc_id", T.token_set("text").alias("toks")), "doc_id")
     return S.mmr(x.select("qid", "doc_id", "score", "toks"))
 
 
@@ -259,7 +260,14 @@ _TEXT = "coalesce(text, '')"
 _MD = [(r"(?m)^#{1,6}\s+", ""), (r"\*\*([^*]+)\*\*", "$1"), (r"\*([^*]+)\*", "$1"), (r"__([^_]+)__", "$1"), (r"_([^_]+)_", "$1"), (r"(?s)```.*?```", ""), (r"`([^`]+)`", "$1"), (r"\[([^\]]+)\]\([^\)]+\)", "$1"), (r"!\[([^\]]*)\]\([^\)]+\)", "$1"), (r"\n{3,}", "\n\n")]
 _HTML = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;|&apos;", "'"), ("&nbsp;", " "), ("&amp;", "&"), (r"(?is)<script[^>]*>.*?</script>", ""), (r"(?is)<style[^>]*>.*?</style>", ""), ("<[^>]+>", " "), (r"\s{2,}", " ")]
 _AT = "coalesce(least(nullif(instr(lower(text), 'memory'), 0), nullif(instr(lower(text), 'server'), 0), nullif(instr(lower(text), 'retention'), 0)) - 1, 0)"
-_PAIRS = sorted({(k, s) for k, v in S.SYNONYMS.items() for s in v} | {(s, k) for k, v in S.SYNONYMS.items() for s in v})
+# the dictionaries in their own words: head=members
+_GROUPS = """файл=документ,данные,file файлы=документы,данные,files код=исходник,скрипт,code память=memory,хранение,запоминание поиск=найти,отыскать,search тест=тестирование,проверка,unit ошибка=баг,проблема,error
+функция=метод,процедура,function класс=объект,сущность,class данные=информация,контент,data настройка=конфиг,параметр,setting пользователь=юзер,клиент,user сервер=бэкенд,служба,server запрос=request,вызов ответ=response,результат
+файл=документ,дані,file файли=документи,дані,files код=скрипт,програма,code память=memory,зберігання,запам'ятовування пошук=знайти,відшукати,search тест=тестування,перевірка,unit помилка=баг,проблема,error
+функція=метод,процедура,function клас=об'єкт,сутність,class дані=інформація,контент,data налаштування=конфіг,параметр,setting користувач=клієнт,user,account сервер=бекенд,служба,server запит=request,виклик відповідь=response,результат
+file=doc,document,data code=source,script,program memory=storage,save search=find,lookup,query test=testing,check,unit error=bug,issue,problem function=method,procedure class=object,entity data=info,information config=setting,option,parameter
+user=client,enduser server=backend,service client=frontend request=call,invoke response=result,return"""
+_EXT = "py=python js=javascript ts=typescript json=json md=markdown txt=text html=html css=css sql=sql yml=yaml yaml=yaml xml=xml sh=shell bash=shell zsh=shell go=go rs=rust java=java c=c cpp=cpp h=header hpp=cpp"
 
 QUERIES = {
     f.__name__: f
@@ -283,13 +291,16 @@ SQL = {
     "query_rewrite": rf"""with t as (select item_id, question, list_distinct({_TOK.format('question')}) u, {_TOK.format('question')} f from eval_items),
 r as (select item_id, question, len(u) n, array_to_string(list_transform(list_slice(list_sort(list_transform(u, lambda x: {{'l': -length(x), 'i': list_position(f, x), 'x': x}})), 1, 12), lambda s: s.x), ' ') q from t)
 select item_id, case when n >= 3 and length(q) >= 6 and q <> lower(question) then q end as query from r""",
-    "query_expand": f"""with t as (select distinct doc_id qid, unnest({_TOK.format('text')}) term from documents), p(term, other) as (values {', '.join(f"('{a}', '{b}')" for a, b in _PAIRS)}),
-x as (select distinct qid, other from t join p using (term) where (qid, other) not in (select (qid, term) from t)), r as (select *, row_number() over (partition by qid order by other) k from x)
-select qid, string_agg(other, ' ' order by other) as terms from r where k <= 5 group by qid""",
+    "query_expand": rf"""with g as (select split_part(x, '=', 1) head, string_split(split_part(x, '=', 2), ',') ms from (select unnest(regexp_split_to_array('{_GROUPS.replace("'", "''")}', '\s+')) x)),
+p as (select head term, unnest(ms) other from g union select m, o from (select unnest(ms) m, ms from g) t, unnest(t.ms) u(o)),
+t as (select distinct doc_id qid, unnest(regexp_extract_all(lower(regexp_replace(coalesce(text, ''), '[''’]', '', 'g')), '[\p{{L}}\p{{N}}]{{2,}}')) term from documents),
+e as (select split_part(x, '=', 1) ext, split_part(x, '=', 2) stands from (select unnest(string_split('{_EXT}', ' ')) x)),
+o as (select qid, other from t join p using (term) union select doc_id, stands from documents join e on contains(lower(coalesce(text, '')), ext))
+select qid, array_to_string(list_slice(list_sort(list(distinct other)), 1, 5), ' ') as terms from o group by qid""",
     "snippet_kb": "select doc_id, sha1(case when a0 >= 0 then substr(text, greatest(0, a0 - 50)::int + 1, (a0 - greatest(0, a0 - 50) + 63)::int) else substr(text, 1, 100) end) as h from (select doc_id, text, case when instr(lower(text), 'memory server') > 0 then instr(lower(text), 'memory server') else instr(lower(text), 'memory') end - 1 a0 from documents where text is not null)",
     "excerpt_window": f'''select doc_id, a0::bigint as "at", sha1(substr(text, greatest(0, least(a0 - 120, length(text) - 240))::int + 1, 240)) as h from (select doc_id, text, {_AT} a0 from documents where text is not null)''',
     "chunk_text": f"select doc_id, chunk_index, sha1(c) as h from ({_CHUNK_SQL})",
-    "chunk_neighbors": f"""with ch as ({_CHUNK_SQL}), h as (select doc_id, chunk_index hit from ch where chunk_index % 20 = 0)
+    "chunk_neighbors": f"""with ch as ({_CHUNK_SQL}), h as (select doc_id, chunk_index hit from ch where doc_id % 20 = 0)
 select doc_id, hit, sha1(substr(string_agg('--- chunk ' || chunk_index || ' ---' || chr(10) || c, chr(10) || chr(10) order by chunk_index), 1, 1400)) as h from h join ch using (doc_id) where abs(chunk_index - hit) <= 1 group by doc_id, hit""",
     "vec_norms": "select vec_id, round(sqrt(list_sum(list_transform(embedding::double[], lambda x: x * x))), 5) as norm from embeddings",
     "vec_cosine_topk": """with s as (select q.vec_id qid, v.vec_id, list_cosine_similarity(q.embedding::double[], v.embedding::double[]) score from embeddings q, embeddings v where q.vec_id % 20 = 0),
