@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.names import norm_name, seconds
+from lodestone.operators.running import running
+from lodestone.sources.tables import checkpointed
 
 DAY_US = 86_400_000_000
 
@@ -96,20 +98,16 @@ def combined_history(df: DataFrame, attributes: Sequence[str], block_days: int =
 
     The periods are cut at the union of the attributes' boundaries; a value carries over block borders by one summary
     row per block. Columns: subject, one per attribute (null where it had no value), from_s, to_s (0 while open).
-    Periods in which no attribute had a value are left out.
+    Periods in which no attribute had a value are left out. As the versions of each attribute are coalesced, something
+    changes at every boundary, so no two neighbouring periods are alike.
     """
-    v = versions(df, attributes, block_days)
-    begins = v.select("s", F.col("t0").alias("t"), "p", F.col("o").alias("v"))
-    ends = v.where("t1 is not null").select("s", F.col("t1").alias("t"), "p", F.lit(None).cast("string").alias("v"))
-    # an end and a begin at one time: the begin wins, as max() passes over null
-    points = begins.unionByName(ends).groupBy("s", "t").agg(*[F.max(F.when(F.col("p") == a, F.struct(F.col("v").isNotNull().alias("y"), F.col("v").alias("v")))).alias(a) for a in attributes])
-    points = points.withColumn("b", F.floor(F.col("t") / (block_days * DAY_US)))
-    inside = Window.partitionBy("s", "b").orderBy("t").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    filled = points.select("s", "b", "t", *[F.last(a, ignorenulls=True).over(inside).alias(a) for a in attributes])
-    blocks = filled.groupBy("s", "b").agg(F.min("t").alias("first"), *[F.max_by(F.col(a), F.when(F.col(a).isNotNull(), F.col("t"))).alias(a) for a in attributes])
-    before = Window.partitionBy("s").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    carried = blocks.select("s", "b", F.lead("first").over(Window.partitionBy("s").orderBy("b")).alias("later"), *[F.last(a, ignorenulls=True).over(before).alias(f"_{a}") for a in attributes])
-    step = Window.partitionBy("s", "b").orderBy("t")
-    full = filled.join(carried, ["s", "b"]).select("s", "t", F.coalesce(F.lead("t").over(step), F.col("later")).alias("u"), *[F.coalesce(F.col(a), F.col(f"_{a}"))["v"].alias(a) for a in attributes])
-    some = F.coalesce(*[F.col(a) for a in attributes]).isNotNull()
-    return full.where(some).select(F.col("s").alias("subject"), *attributes, seconds(F.col("t")).alias("from_s"), F.coalesce(seconds(F.col("u")), F.lit(0)).cast("bigint").alias("to_s"))
+    v = checkpointed(versions(df, attributes, block_days))
+    ends = F.array(F.struct(F.col("t0").alias("t"), F.col("o").alias("v")), F.struct(F.col("t1").alias("t"), F.lit(None).cast("string").alias("v")))
+    marks = v.select("s", "p", F.inline(ends)).where("t is not null")
+    # an end and a begin at one time: the begin wins, as it is the greater one
+    points = marks.groupBy("s", "t").agg(*[F.max(F.when(F.col("p") == a, F.struct(F.col("v").isNotNull().alias("y"), F.col("v").alias("v")))).alias(f"_{a}") for a in attributes])
+    points = points.withColumn("b", F.floor(F.col("t") / (block_days * DAY_US))).withColumn("back", -F.col("t")).withColumn("b_back", -F.col("b"))
+    x = running(points, ["s"], "b", ["t"], lasts={a: F.col(f"_{a}") for a in attributes})
+    x = running(x, ["s"], "b_back", ["back"], lasts={"u": F.col("t")}, before=True)
+    x = x.select("s", "t", "u", *[F.col(a)["v"].alias(a) for a in attributes]).where(F.coalesce(*[F.col(a) for a in attributes]).isNotNull())
+    return x.select(F.col("s").alias("subject"), *attributes, seconds(F.col("t")).alias("from_s"), F.coalesce(seconds(F.col("u")), F.lit(0)).cast("bigint").alias("to_s"))

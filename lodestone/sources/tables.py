@@ -1,10 +1,12 @@
-"""Parquet table access (S1, S2) and schema alignment."""
+"""Parquet table access (S1), spreading of few-partition inputs, checkpoints in the shared folder."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -12,12 +14,6 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
-    """Select the schema's columns, casting what is there and adding nulls for what is not (additive migration)."""
-    have = set(df.columns)
-    return df.select(*[(F.col(f"`{f.name}`") if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema.fields])
-
-
 def spread(df: DataFrame) -> DataFrame:
     """The same rows in at least as many partitions as there are cores, for work that costs much per row.
 
@@ -28,7 +24,10 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage by writing to the folder that all executors share; outside a cluster a local folder is set if none is."""
+    """Cut lineage by writing to the folder that all executors share, named by spark.checkpoint.dir.
+
+    Only a local session that names none gets a folder of its own, which is removed when the process ends.
+    """
     spark = df.sparkSession
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
@@ -36,8 +35,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
         if not where:
             if not sc.master.startswith("local[") and sc.master != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            import tempfile
-
             where = tempfile.mkdtemp(prefix="checkpoint-")
+            atexit.register(shutil.rmtree, where, ignore_errors=True)
         sc.setCheckpointDir(where)
     return df.checkpoint()
