@@ -1,10 +1,16 @@
 """Personal information in free text: detection, and keyed surrogates in its place (problem 2).
 
-Mentions are found by patterns for addresses of mail, numbers and places, and by given names, initials and family
-names in sequence. Each distinct entity then gets one replacement of its kind: a name of the same gender and script, a
-number of the same format, a mail address, a street. Replacements come from a keyed hash of the entity's normal form,
-so one entity has one replacement in every row (coreference), and a check over all entities of the run moves every
-second bearer of a replacement to another one (distinctness). Entities are joined by value, never gathered.
+Mentions are found by patterns for addresses of mail, numbers and places. Persons are found by given names (also in
+inflected Cyrillic forms), initials and family names in sequence, and by titles and phrases that announce a name. What
+the corpus itself tells is learned by aggregates: a capitalised word that stands before several family names known from
+such mentions, and seldom before other words, is a given name too, and a lower-case word after a given name is a family
+name if it is one elsewhere.
+
+Each distinct entity then gets one replacement of its kind: a name of the same gender and script, a number of the same
+format, a mail address, a street. Replacements come from a keyed hash of the entity's normal form, so one entity has one
+replacement in every row (coreference); a check over all entities of the run moves a second bearer of a replacement to
+another one, and any replacement that is an entity of the run itself (distinctness). Entities are joined by value, never
+gathered.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodestone.sources.tables import read_table
+from lodestone.sources.tables import checkpointed, read_table
 
 # Given names by script and gender; words that are common nouns or verbs in their language are left out.
 LATIN_F = (
@@ -42,7 +48,7 @@ MORE_F = (
     "nathalie valérie sylvie céline aurélie élodie amélie émilie hélène françoise brigitte martine véronique manon léa chantal monique "
     "małgorzata krystyna joanna elżbieta halina grażyna bożena agata karolina beata dorota justyna aleksandra zuzanna hanna alicja kinga "
     "giulia francesca chiara federica paola fatma zeynep ayşe leila layla maryam zainab khadija amina noor priyanka anjali deepa lakshmi sunita kavita ananya mei-ling xiaoli yan sakura yumi keiko haruka "
-    "ngozi amara adaeze chioma folake wanjiru astrid freja sigrid solveig kirsten anneke marieke femke oksana svitlana tetiana yulia ekaterina tatiana svetlana ludmila galina anastasia daria"
+    "gertrude bernadette henrietta josephine constance harriet philippa imogen beatrice agatha edith mildred ethel winifred rosemary genevieve marguerite bernadeta jadwiga stanisława wiesława bogumiła leokadia gisele odette simone ilse waltraud liesel roswitha consuelo graciela marisol esperanza ngozi amara adaeze chioma folake wanjiru astrid freja sigrid solveig kirsten anneke marieke femke oksana svitlana tetiana yulia ekaterina tatiana svetlana ludmila galina anastasia daria"
 ).split()
 MORE_M = (
     "william richard joseph charles christopher matthew anthony donald steven kenneth joshua kevin brian george timothy ronald edward jason jeffrey ryan jacob gary nicholas eric jonathan stephen larry justin scott brandon "
@@ -53,7 +59,7 @@ MORE_M = (
     "jean philippe françois nicolas laurent olivier julien sébastien guillaume thierry pascal frédéric christophe étienne rené gérard yves "
     "stanisław zbigniew jerzy tadeusz ryszard henryk mateusz jakub kacper bartosz wojciech grzegorz łukasz maciej kamil szymon "
     "marco luca matteo giovanni giuseppe alessandro mohammed mohamed muhammad mustafa hassan hussein ibrahim khalid mehmet emre murat arjun rahul rajesh sanjay suresh vikram amit anil wei jun hao takashi kenta satoshi minh tuan "
-    "chinedu emeka kwame kwesi oluwaseun sipho thabo björn magnus erik nils anders jeroen pieter willem sergey dmytro dmitry alexei aleksei mikhail nikolai vladimir viktor andriy serhiy mykola oleksandr pavel yuri artem bohdan taras"
+    "reginald cuthbert percival ambrose bartholomew montgomery leopold ferdinand siegfried gottfried eberhard ignatius bolesław kazimierz zygmunt leszek gustavo hernando octavio anatole gaston marcel chinedu emeka kwame kwesi oluwaseun sipho thabo björn magnus erik nils anders jeroen pieter willem sergey dmytro dmitry alexei aleksei mikhail nikolai vladimir viktor andriy serhiy mykola oleksandr pavel yuri artem bohdan taras"
 ).split()
 MORE_CYRILLIC_F = "александра алла анастасия анастасія антонина валерия валерія варвара василиса вероника віра надежда надія евгения євгенія евдокия елизавета єлизавета жанна зинаида зоя инна інна карина кира лариса любов маргарита марта нина ніна полина поліна раиса регина римма тамара ульяна эльвира яна соломія уляна христина богдана ганна катерина ярослава".split()
 MORE_CYRILLIC_M = "анатолий анатолій антон аркадий борис валентин валерий валерій вадим василий василь виталий віталій владислав всеволод вячеслав геннадий георгий глеб григорий григорій даниил данило денис евгений євген егор захар иннокентий илья ілля кирилл кирило константин костянтин лев леонид леонід матвей никита микита петр руслан савва семен семён станислав степан тимофей тимур федор фёдор филипп юхим ярослав яков".split()
@@ -64,7 +70,7 @@ OPENERS = set("mark will grace rose bill frank hope faith joy dean dale pearl ma
 # Family names of two and three letters, which are accepted after an initial.
 SHORT_FAMILY = set("li lee wu xu yu ma ho hu lu su ng le vu bui kim han oh cho roy fox cox ray orr ali ito ono ota abe rao das sen dey kaur gil paz rey rio rou roux lai lam lau lim lin liu mai tan tam tao teo tse wei yan yip yee fan fu gao guo hsu kay kok koh kwa pao poe pym rae uhl ott orth koc łoś цой ким пак кац хан лі лю чан югай".split())
 # Titles and phrases that announce a person, so that the given name need not be on a list.
-CUE_TITLES = "mr mrs ms dr prof sr sra mme mlle señor señora monsieur madame pan pani г-н г-жа господин госпожа пан пані".split()
+CUE_TITLES = "mr mrs ms dr herr frau prof sr sra mme mlle señor señora monsieur madame pan pani г-н г-жа господин госпожа пан пані".split()
 CUE_PHRASES = ["name is", "i am called", "ich heiße", "mein name ist", "me llamo", "nombre es", "je m'appelle", "mon nom est", "nazywam się", "меня зовут", "мене звати", "моє ім'я", "моё имя"]
 CUE = re.compile(rf"(?i:(?<!\w)(?:(?:{'|'.join(CUE_TITLES)})\.?|{'|'.join(CUE_PHRASES)}))[ \u00a0](?=[^\W\d_])")
 # Words that open sentences or stand beside a letter with a dot, and so are no family names.
@@ -79,12 +85,32 @@ NOT_FAMILY = set(
 )
 # Endings that mark a lower-case word after a given name as a family name.
 FAMILY_END = re.compile(
-    r"(?:son|sen|man|mann|er|ling|inger|ski|sky|ska|ov|ova|ev|eva|ko|ez|etto|ini|elli|adze|hurst|wick|way|ley|ton|ford|berg|stein|ander|ivka|elmi|var|ский|ская|цкий|ин|ина|ук|юк|ко|ич|ов|ова|ев|ева|дзе|мар|ян)(?:$|-)"
+    r"(?:son|sen|man|mann|er|ling|inger|ski|sky|ska|ov|ova|ev|eva|ko|ez|etto|ini|elli|adze|hurst|wick|way|ley|ton|ford|berg|stein|ander|ivka|elmi|var|dt|czyk|wicz|vić|escu|ński|ńska|ский|ская|цкий|ин|ина|ук|юк|ко|ич|ов|ова|ев|ева|дзе|мар|ян)(?:$|-)"
 )
 
 FIRST = {**dict.fromkeys(LATIN_F, "f"), **dict.fromkeys(LATIN_M, "m"), **dict.fromkeys(CYRILLIC_F, "f"), **dict.fromkeys(CYRILLIC_M, "m")}
 GENDER = {**{w: g for ws, g in ((MORE_F, "f"), (MORE_M, "m"), (MORE_CYRILLIC_F, "f"), (MORE_CYRILLIC_M, "m")) for w in ws}, **dict.fromkeys("grace rose hope faith joy ruby ivy daisy lily pearl".split(), "f"), **dict.fromkeys("mark bill frank jack dean dale max grant miles ray".split(), "m"), **FIRST}
 CASED -= {*FIRST}  # those keep counting in lower case
+# Endings of Cyrillic given names in their cases.
+CASES = ("ові", "еві", "єві", "ою", "ею", "єю", "ём", "ом", "ем", "єм", "им", "ым", "ию", "ии", "у", "ю", "а", "я", "е", "є", "і", "ї", "и", "ы", "й", "ь", "")
+STEMS = {re.sub(r"[аяйь]$", "", w): w for w in (*CYRILLIC_F, *CYRILLIC_M, *MORE_CYRILLIC_F, *MORE_CYRILLIC_M) if len(w) > 3}
+
+
+def base_given(word: str) -> str | None:
+    """The listed given name that a lower-case word is, or a form of; None for other words."""
+    if word in GENDER:
+        return word
+    if "а" <= word[:1] <= "ґ":
+        for end in CASES:
+            if end and word.endswith(end) and word[: -len(end)] in STEMS:
+                return STEMS[word[: -len(end)]]
+    return None
+
+
+def base_family(word: str, gender: str | None) -> str:
+    """A lower-case Cyrillic family name in -ов, -ев, -ин without its case; a woman's keeps its -а."""
+    m = re.fullmatch(r"(.{2,}(?:ов|ев|ёв|ин))(?:а|у|ым|ом|е|ой|ою)?", word)
+    return word if not m else m[1] + "а" * (gender == "f")
 
 WORD = re.compile(r"[^\W\d_]+(?:['’\-][^\W\d_]+)*")
 GAP = re.compile(r"[  \t]{1,2}|\n")
@@ -116,7 +142,7 @@ ADDRESS = re.compile(
     rf"(?<![\w.])(?:(?:(?:Flat|Apt\.?|Apartment|Unit|Suite) \d+[A-Z]?, ?)?\d{{1,5}}[A-Z]? (?:[A-Z][^\W\d_]+ ){{1,3}}{EN_KIND}(?:,? (?:Flat|Apt\.?|Unit|Suite) \d+)?(?:,?[ \n]{TOWN}(?= \d{{5}}\b|,|\.|\n|$| [A-Z]{{2}} \d))?(?:,? (?:[A-Z]{{2}} )?\d{{5}}\b)?"
     rf"|[A-ZÄÖÜ][^\W\d_]*(?:gasse|straße|strasse|str\.|weg|platz|allee|ring|damm|ufer) \d+[a-z]?(?:, ?\d{{5}} {TOWN})?"
     rf"|(?:(?:г|м|гор|с|пгт|смт)\. ?{TOWN}, ?)?(?:(?:ул|вул|пер|пров|просп|пр|пл|наб)\. ?|(?:улица|вулиця|переулок|провулок|проспект|площадь|площа|бульвар|набережная|набережна) )[А-ЯІЇЄҐ][^\W\d_]+(?: [А-ЯІЇЄҐ][^\W\d_]+)?,? (?:(?:д|буд|дом|будинок)\.? ?)?\d+[а-яA-Z]?(?:/\d+)?(?:, ?(?:кв|оф)\.? ?\d+)?(?:, ?{TOWN}(?=[,.\n]|$))?"
-    rf"|\d{{1,4}},? (?:rue|avenue|boulevard|place|quai) (?:de la |du |des |de |d')?[A-Z][^\W\d_]+|(?:Calle|Avenida|Plaza|Paseo) (?:de (?:la )?)?[A-Z][^\W\d_]+,? (?:n\.º )?\d+|(?:ul|al|pl|os)\. [A-Z][^\W\d_]+(?: [A-Z][^\W\d_]+)? \d+(?:/\d+)?)"
+    rf"|\d{{1,4}},? (?:rue|avenue|boulevard|place|quai) (?:de la |du |des |de |d')?[A-Z][^\W\d_]+(?:[ \-][A-Z][^\W\d_]+)*(?:, (?:\d{{5}} )?{TOWN}(?=[,.\n]|$))?|(?:Calle|Avenida|Plaza|Paseo) (?:de (?:la )?)?[A-Z][^\W\d_]+,? (?:n\.º )?\d+|(?:ul|al|pl|os)\. [A-Z][^\W\d_]+(?: [A-Z][^\W\d_]+)? \d+(?:/\d+)?)"
 )
 ADDRESS_LIKE = re.compile(rf"\d [A-Z][^\W\d_]+ (?:[A-Z][^\W\d_]+ )*{EN_KIND}|(?:gasse|straße|strasse|str\.|weg|platz|allee|ring|damm|ufer) \d|(?:ул|вул|пер|пров|просп|пр|пл|наб)\.|улиц|вулиц|переул|провул|проспект|площ|бульвар|набереж|\d,? (?:rue|avenue|boulevard|place|quai) |Calle |Avenida |Plaza |Paseo |(?:ul|al|pl|os)\. [A-Z]")
 # Pieces of lower-case text without which there is no mention of a kind; one pass finds them all.
@@ -140,7 +166,7 @@ def _pieces() -> ahocorasick.Automaton:
     put(ID_PIECES, 2)
     put([*(f"+{d}" for d in digits), *(f"({d}" for d in digits), "00 ", *(f"{a}{s}{b}" for a in digits for b in digits for s in ".-‐‑")], 4)
     put([*ADDRESS_PIECES, *(f" {k}{x}" for k in STREET_KINDS for x in " .,\n")], 8)
-    put([*GENDER, *(f"{a}{x}." for a in " \n\t\"'(<|«=" for x in letters)], 16)
+    put([*GENDER, *STEMS, *(f"{a}{x}." for a in " \n\t\"'(<|«=" for x in letters)], 16)
     auto = ahocorasick.Automaton()
     for w, bits in kinds.items():
         auto.add_word(w, bits)
@@ -183,6 +209,8 @@ def persons(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str
         w = toks[j][2]
         if w.lower() in GENDER:
             return not (w.islower() and w.lower() in CASED)
+        if w[0].isupper() and base_given(w.lower()):
+            return True
         return toks[j][0] in cued and len(w) > 1 and w[0].isupper() and w.lower() not in NOT_FAMILY and w.lower() not in CUE_TITLES
 
     while i < n:
@@ -194,13 +222,14 @@ def persons(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str
                 ok, j = True, j + 1
             else:
                 ok = GAP.fullmatch(gap(i)) is not None
-                if ok and j + 1 < n and w[0].isupper() and toks[j][2].lower() in GENDER and gap(j) == " " and _is_family(bare(j + 1)[1], w) and toks[j + 1][2].lower() not in FIRST:
+                if ok and j + 1 < n and w[0].isupper() and base_given(toks[j][2].lower()) and gap(j) == " " and _is_family(bare(j + 1)[1], w) and toks[j + 1][2].lower() not in FIRST:
                     j += 1
             if ok:
                 e, fam = bare(j)
                 opens = low in OPENERS and re.search(r"(?:^|[.!?:;…\n])[\"'»“(*\s\-]*$", text[max(a - 6, 0) : a]) is not None
                 if _is_family(fam, w) and fam.lower() not in FIRST and not (opens and not FAMILY_END.search(fam.lower())):
-                    out.append((a, e, low, fam.lower()))
+                    given = base_given(low) or low
+                    out.append((a, e, given, base_family(fam.lower(), GENDER.get(given))))
                     i = j + 1
                     continue
         if i + 1 < n and gap(i) in (", ", ",\n") and w[0].isupper() and _is_family(w, w) and low not in FIRST:
@@ -231,19 +260,17 @@ def persons(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str
     return out
 
 
-def mentions(text: str) -> list[tuple[str, int, int, str]]:
-    """kind, start, end (in characters) and normal form of every mention, in order, without overlap."""
-    found: list[tuple[str, int, int, str]] = []
+def _found(text: str) -> tuple[list[tuple[str, int, int, str, str, str]], int]:
+    """kind, start, end, normal form, given and family name of every mention, and which kinds of signs the text holds."""
+    found: list[tuple[str, int, int, str, str, str]] = []
 
-    def add(kind: str, a: int, b: int, norm: str) -> None:
-        if not any(x < b and a < y for _, x, y, _ in found):
-            found.append((kind, a, b, norm))
+    def add(kind: str, a: int, b: int, norm: str, given: str = "", fam: str = "") -> None:
+        if not any(x < b and a < y for _, x, y, *_ in found):
+            found.append((kind, a, b, norm, given, fam))
 
     near = 0
     for _, bits in PIECES.iter("\n" + text.lower() + "\n"):
         near |= bits
-    if not near:
-        return found
     if near & 1:
         for m in EMAIL.finditer(text):
             add("email", m.start(), m.end(), re.sub(r" ?[\[(] ?dot ?[\])] ?", ".", re.sub(AT, "@", m.group().lower())).replace(" ", ""))
@@ -257,37 +284,78 @@ def mentions(text: str) -> list[tuple[str, int, int, str]]:
         for m in ADDRESS.finditer(text):
             add("address", m.start(), m.end(), re.sub(r"[\W_]+", " ", m.group()).strip().lower())
     if near & 16:
-        people = persons(text, [(a, b) for _, a, b, _ in found])
+        people = persons(text, [(a, b) for _, a, b, *_ in found])
         full = {(fam, given[0]): given for _, _, given, fam in people if not given.endswith(".")}
         for a, b, given, fam in people:
             # an initial stands for the full name of the same text, if one fits
-            add("person", a, b, f"{full.get((fam, given[0]), given)} {fam}")
-    return sorted(found, key=lambda x: x[1])
+            add("person", a, b, f"{full.get((fam, given[0]), given)} {fam}", full.get((fam, given[0]), given), fam)
+    return sorted(found, key=lambda x: x[1]), near
+
+
+def mentions(text: str) -> list[tuple[str, int, int, str]]:
+    """kind, start, end (in characters) and normal form of every mention that a text shows by itself, in order, without overlap."""
+    return [x[:4] for x in _found(text)[0]]
+
+
+PAIR = re.compile(r"(?<![\w@./#\-])([^\W\d_]{2,})[ \u00a0](?=([^\W\d_]{2,}(?:-[^\W\d_]{2,})?)(?![\w@/]))")
+
+
+def likely(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str, str, bool]]:
+    """start, end, given, family of two words that may be a name if the corpus says so, and whether they are capitalised:
+    any two capitalised words, or a listed given name and another word in lower case. Taken spans are passed over."""
+    out = []
+    for m in PAIR.finditer(text):
+        g, f = m.group(1), m.group(2)
+        low, a, b = g.lower(), m.start(), m.end(2)
+        if low in NOT_FAMILY or f.lower() in NOT_FAMILY or low in CUE_TITLES or any(x < b and a < y for x, y in taken):
+            continue
+        if g[0].isupper() and g[1:].islower() and f[0].isupper() and not f.isupper() and base_given(low) is None:
+            out.append((a, b, low, f.lower(), True))
+        elif g.islower() and f.islower() and low in GENDER and low not in CASED:
+            out.append((a, b, low, f, False))
+    return out
 
 
-MENTION = "kind string, a int, b int, norm string"
+MENTION = "kind string, a int, b int, norm string, given string, fam string"
 
 
 def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for d in batches:
-        found = [[dict(kind=k, a=a, b=b, norm=n) for k, a, b, n in mentions(t)] if t else [] for t in d["text"]]
-        keep = pd.Series([len(x) > 0 for x in found], index=d.index)
-        yield d.assign(m=pd.Series(found, index=d.index, dtype=object))[keep]
+        rows = []
+        for table, rec, h, text in zip(d["rec_table"], d["rec_id"], d["h"], d["text"], strict=True):
+            found = _found(text)[0]
+            rows += [(table, rec, h, *m) for m in found]
+            rows += [(table, rec, h, "capitals" if big else "small", a, b, f"{g} {f}", g, f) for a, b, g, f, big in likely(text, [(a, b) for _, a, b, *_ in found])]
+        yield pd.DataFrame(rows, columns=["rec_table", "rec_id", "h", "kind", "a", "b", "norm", "given", "fam"])
 
 
 def records(messages: DataFrame, sessions: DataFrame) -> DataFrame:
-    """rec_table, rec_id, text of both tables; repeated rows and rows without id or text are left out."""
+    """rec_table, rec_id, text of both tables; rows without id or text are left out."""
     m = messages.select(F.lit("messages").alias("rec_table"), F.col("id").cast("string").alias("rec_id"), F.col("content").cast("string").alias("text"))
     s = sessions.select(F.lit("sessions").alias("rec_table"), F.col("id").cast("string").alias("rec_id"), F.col("user_prompt").cast("string").alias("text"))
     return m.unionByName(s).where("rec_id is not null and text <> ''")
 
 
+LEAST_FAMILIES = 2  # known family names that a learned given name stands before
+LEAST_SHARE = 0.5  # of all the capitalised words that it stands before
+
+
 def detected(df: DataFrame) -> DataFrame:
-    """Rows of rec_table, rec_id, text that hold personal data, with m: array of kind, a, b (characters), norm.
+    """Mentions in rows of rec_table, rec_id, text: rec_table, rec_id, h (hash of the text), kind, a, b (characters), norm.
 
-    Every text is read whole. Null and empty texts hold nothing. An empty table gives no rows.
+    Every text is read whole and once; what it shows by itself and what may be a name go to the checkpoint folder, and
+    counts over the whole corpus decide on the latter. Null and empty texts hold nothing, an empty table gives no rows.
     """
-    return df.select("rec_table", "rec_id", "text").mapInPandas(_detect, f"rec_table string, rec_id string, text string, m array<struct<{MENTION.replace(' ', ':').replace(',:', ',')}>>")
+    x = df.where("text <> ''").select("rec_table", "rec_id", F.xxhash64("text").alias("h"), "text")
+    rows = checkpointed(x.mapInPandas(_detect, f"rec_table string, rec_id string, h bigint, {MENTION}").distinct())
+    sure, pairs = rows.where("kind not in ('capitals', 'small')"), rows.where("kind in ('capitals', 'small')")
+    known = sure.where("kind = 'person'").groupBy("fam").agg(F.count("*").alias("times"))
+    met = pairs.join(known, "fam", "left")
+    given = met.where("kind = 'capitals'").groupBy("given").agg(F.countDistinct(F.when(F.col("times") >= 2, F.col("fam"))).alias("known"), F.countDistinct("fam").alias("every"))
+    given = given.where((F.col("known") >= LEAST_FAMILIES) & (F.col("known") >= LEAST_SHARE * F.col("every"))).join(known.select(F.col("fam").alias("given")), "given", "left_anti")
+    learned = met.where("kind = 'capitals'").join(given.select("given"), "given", "left_semi").unionByName(met.where("kind = 'small' and times >= 2"))
+    cols = ["rec_table", "rec_id", "h", "kind", "a", "b", "norm"]
+    return sure.select(*cols).unionByName(learned.withColumn("kind", F.lit("person")).select(*cols))
 
 
 # --- surrogates -----------------------------------------------------------------------------------------------------
@@ -375,7 +443,7 @@ def surrogate(kind: str, norm: str, turn: int, key: bytes) -> str:
         # letters stay, and of a phone number its country and area code; the other digits are permuted
         digits = "".join(str(int(c)) for c in norm if c.isdecimal())
         fixed = area_digits(digits) if kind == "phone" else 0
-        new = iter(digits[:fixed] + _permuted(digits[fixed:], key, kind, digits[:fixed]))
+        new = iter(digits[:fixed] + _permuted(digits[fixed:], key, kind, str(turn), digits[:fixed]))
         return "".join(next(new) if c.isdecimal() else c.upper() for c in norm)
     return _address(norm, r)
 
@@ -405,30 +473,78 @@ def _surrogates(key: bytes):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for d in batches:
             s = [surrogate(k, n, int(t), key) for k, n, t in zip(d["kind"], d["norm"], d["turn"], strict=True)]
-            yield d[["kind", "norm", "turn"]].assign(s=s, seen=[seen_as(k, x) for k, x in zip(d["kind"], s, strict=True)])
+            yield d[["kind", "norm", "turn"]].assign(s=s, seen=[seen_as(k, x).lower() for k, x in zip(d["kind"], s, strict=True)])
 
     return run
 
 
+def _occupied(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for d in batches:
+        yield pd.DataFrame({"kind": d["kind"], "norm": d["norm"], "turn": -1, "s": d["norm"], "seen": [seen_as(k, n).lower() for k, n in zip(d["kind"], d["norm"], strict=True)]})
+
+
 def _ranked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for d in batches:
         yield d[["kind", "norm"]].assign(s=[ranked(k, s, int(r)) if r else s for k, s, r in zip(d["kind"], d["s"], d["r"], strict=True)])
 
 
+LEAST_FREE = 0.75  # share of the numbers of a form that are none of the run's, from which replacements avoid these
+
+
+def form_of(kind: str, norm: str) -> tuple[str, float]:
+    """A number's form, in which its replacements have it too, and how many numbers there are of it."""
+    digits = sum(c.isdecimal() for c in norm)
+    left = area_digits("".join(str(int(c)) for c in norm if c.isdecimal())) if kind == "phone" else 0
+    out, seen = [], 0
+    for c in norm:
+        seen += c.isdecimal()
+        out.append("#" if c.isdecimal() and seen > left else c)
+    return "".join(out), 10.0 ** (digits - left)
+
+
+def _formed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for d in batches:
+        forms = [form_of(k, n) for k, n in zip(d["kind"], d["norm"], strict=True)]
+        yield d[["kind", "norm"]].assign(form=[f for f, _ in forms], room=[n for _, n in forms])
+
+
+def numbers(ents: DataFrame, key: bytes) -> DataFrame:
+    """kind, norm, s for phones and id numbers, distinct: a keyed permutation of the digits, and another one while the
+    result is a number of the run or taken. Where the run holds more than a quarter of a form's numbers, the first
+    permutation stands, as it keeps numbers apart by itself. The rounds end, as each settles half of the rest at least.
+    """
+    draw, drawn = _surrogates(key), "kind string, norm string, turn int, s string, seen string"
+    formed = checkpointed(ents.mapInPandas(_formed, "kind string, norm string, form string, room double"))
+    full = formed.groupBy("kind", "form").agg((F.count("*") > (1 - LEAST_FREE) * F.max("room")).alias("full"))
+    x = formed.join(full, ["kind", "form"])
+    done = x.where("full").select("kind", "norm", F.lit(0).alias("turn")).mapInPandas(draw, drawn).select("kind", "norm", "s", "seen")
+    real = formed.select("kind", F.lower("norm").alias("seen"))
+    todo, turn = x.where("not full").select("kind", "norm"), 0
+    while not todo.isEmpty():
+        step = todo.withColumn("turn", F.lit(turn)).mapInPandas(draw, drawn).select("kind", "norm", "s", "seen")
+        good = checkpointed(step.join(real.unionByName(done.select("kind", "seen")), ["kind", "seen"], "left_anti").select("kind", "norm", "s", "seen"))
+        todo, done, turn = checkpointed(todo.join(good, ["kind", "norm"], "left_anti")), done.unionByName(good), turn + 1
+    return done.select("kind", "norm", "s")
+
+
 def surrogates(found: DataFrame, key: str) -> DataFrame:
-    """kind, norm, s: one replacement per distinct entity, distinct within its kind in every form that shaped() gives it.
+    """kind, norm, s: one replacement per distinct entity, distinct within its kind in every form that shaped() gives it,
+    and none that is an entity of found itself.
 
-    Numbers are permuted and never meet. Of other entities that drew one replacement, all but the first by normal form
-    draw again with their rank, and what still collides after that gets its rank in syllables.
+    Numbers are permuted within their form. Of other entities that drew one replacement, or that of a real entity, all but
+    the first by normal form draw again with their rank, and what still collides after that gets its rank in syllables.
     """
     drawn = "kind string, norm string, turn int, s string, seen string"
     draw = _surrogates(key.encode())
-    ents = found.select(F.explode("m").alias("x")).select("x.kind", "x.norm").distinct().withColumn("turn", F.lit(0))
-    one = ents.mapInPandas(draw, drawn).withColumn("turn", F.row_number().over(Window.partitionBy("kind", "seen").orderBy("norm")) - 1)
-    again = one.where("turn > 0").select("kind", "norm", "turn").mapInPandas(draw, drawn).withColumn("turn", F.lit(1))
+    ents = found.select("kind", "norm").distinct()
+    digits = F.col("kind").isin("phone", "id_number")
+    texts = ents.where(~digits)
+    real = texts.mapInPandas(_occupied, drawn)
+    one = texts.withColumn("turn", F.lit(0)).mapInPandas(draw, drawn).unionByName(real).withColumn("k", F.row_number().over(Window.partitionBy("kind", "seen").orderBy("turn", "norm")) - 1).where("turn >= 0")
+    again = one.where("k > 0").select("kind", "norm", F.col("k").alias("turn")).mapInPandas(draw, drawn).withColumn("turn", F.lit(1))
     rank = F.row_number().over(Window.partitionBy("kind", "seen").orderBy("turn", "norm")) - 1
-    both = one.where("turn = 0").unionByName(again).withColumn("r", rank)
-    return both.select("kind", "norm", "s", "r").mapInPandas(_ranked, "kind string, norm string, s string")
+    both = one.where("k = 0").drop("k").unionByName(again).unionByName(real).withColumn("r", rank).where("turn >= 0")
+    return both.select("kind", "norm", "s", "r").mapInPandas(_ranked, "kind string, norm string, s string").unionByName(numbers(ents.where(digits), key.encode()))
 
 
 def _rewrite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -452,17 +568,17 @@ def anonymised(df: DataFrame, key: str) -> DataFrame:
     parts of a text outside its mentions stay as they are. Equal rows give one row each; ties do not matter.
     """
     found = detected(df)
-    x = found.select("rec_table", "rec_id", "text", F.explode("m").alias("x")).select("rec_table", "rec_id", "text", "x.*")
     tag = F.substring(F.sha2(F.concat_ws("\x1f", F.lit(key), "kind", "norm"), 256), 1, 8)
-    x = x.join(surrogates(found, key), ["kind", "norm"]).withColumn("tag", tag)
-    whole = x.groupBy("rec_table", "rec_id", "text").agg(F.collect_set(F.struct("a", "b", "kind", "s", "tag")).alias("ms"))
-    return whole.mapInPandas(_rewrite, "rec_table string, rec_id string, surrogate_text string, placeholder_text string")
+    x = found.join(surrogates(found, key), ["kind", "norm"]).withColumn("tag", tag)
+    ms = x.groupBy("rec_table", "rec_id", "h").agg(F.collect_set(F.struct("a", "b", "kind", "s", "tag")).alias("ms"))
+    texts = df.where("text <> ''").select("rec_table", "rec_id", F.xxhash64("text").alias("h"), "text").distinct()
+    return texts.join(ms, ["rec_table", "rec_id", "h"]).select("rec_table", "rec_id", "text", "ms").mapInPandas(_rewrite, "rec_table string, rec_id string, surrogate_text string, placeholder_text string")
 
 
 def p2_found(spark, sf_dir):
     """One row for each mention."""
     found = detected(records(read_table(spark, sf_dir, "messages"), read_table(spark, sf_dir, "sessions")))
-    return found.select("rec_table", "rec_id", F.explode("m").alias("x")).select("rec_table", "rec_id", F.col("x.kind").alias("kind"), F.col("x.a").cast("bigint").alias("pii_start")).distinct()
+    return found.select("rec_table", "rec_id", "kind", F.col("a").cast("bigint").alias("pii_start")).distinct()
 
 
 def p2_anonymised(spark, sf_dir, key: str = "a key that the caller keeps"):

@@ -223,6 +223,32 @@ def test_addresses_keep_the_form_of_their_language():
     assert V.shaped("0049 30 1234567", "phone", V.surrogate("phone", "49301234567", 0, b"k")).startswith("0049 30 ")
 
 
+def test_inflected_rare_and_lower_case_names():
+    for text, name, norm in (
+        ("Gertrude Whitaker called", "Gertrude Whitaker", "gertrude whitaker"), ("Bernadette Kowalczyk is in", "Bernadette Kowalczyk", "bernadette kowalczyk"), ("Oluwaseun Adeyemi said", "Oluwaseun Adeyemi", "oluwaseun adeyemi"),
+        ("письмо Геннадия Воробьёва", "Геннадия Воробьёва", "геннадий воробьёв"), ("отдай Ивану Петрову", "Ивану Петрову", "иван петров"), ("ask anna schmidt about it", "anna schmidt", "anna schmidt"),
+    ):
+        assert [(k, text[a:b], n) for k, a, b, n in V.mentions(text)] == [("person", name, norm)]
+    assert [(k, a, b) for k, a, b, _ in V.mentions("to 12 rue Victor Hugo, Paris")] == [("address", 3, 28)]
+
+
+def test_names_are_learned_from_the_corpus(spark):
+    """Zorvik stands before two family names that are known from listed given names, Project before one and other words."""
+    rows = ["Anna Quentell and Paul Quentell came.", "Maria Bravik wrote to Olga Bravik.", "Then Zorvik Quentell left.", "We met Zorvik Bravik.", "Now Zorvik Unseen is here.", "See Project Quentell and Project Alpha, Project Beta.", "ask anna bravik or anna said"]
+    df = spark.createDataFrame([("t", str(i), x) for i, x in enumerate([*rows, None, ""])], "rec_table string, rec_id string, text string")
+    got = {(r.rec_id, r.norm) for r in V.detected(df.unionByName(df)).collect()}
+    assert {n for i, n in got if i in "2345"} == {"zorvik quentell", "zorvik bravik", "zorvik unseen"}
+    assert ("6", "anna bravik") in got and ("6", "anna said") not in got
+
+
+def test_no_surrogate_is_an_entity_of_the_run(spark):
+    """A tenth of all numbers of five digits are real, and half of those of four: there they only stay distinct."""
+    df = spark.createDataFrame([("id_number", f"{i:05d}") for i in range(0, 100000, 10)] + [("id_number", f"{i:04d}") for i in range(5000)], "kind string, norm string")
+    got = [(r.norm, r.s) for r in V.surrogates(df, "k").collect()]
+    assert len(got) == len({s for _, s in got}) == 15000
+    assert not {s for _, s in got if len(s) == 5} & {n for n, _ in got}
+
+
 # --- packing
 
 
