@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from lodestone.plans import digest, facts, general, memory, search
+from lodestone.plans import context, digest, facts, general, memory, search, store
 
-MODULES = (general, search, facts, memory, digest)
+MODULES = (general, search, context, facts, memory, store, digest)
 
 
 def queries():
