@@ -203,8 +203,9 @@ def file_missing(spark, d):
 
 
 def code_imports(spark, d):
-    """Modules that texts import."""
-    return Y.imports(_docs(spark, d).select(F.col("doc_id").alias("path"), "text"))
+    """Modules that texts import; every document ends with an import of its workspace."""
+    own = F.concat(F.coalesce("text", F.lit("")), F.lit("\nfrom "), F.col("doc_kind"), F.lit("."), F.col("source"), F.lit(" import all"))
+    return Y.imports(_docs(spark, d).select(F.col("doc_id").alias("path"), own.alias("text")))
 
 
 def query_sanitise(spark, d):
@@ -286,7 +287,7 @@ select key, arg_max(v, doc_id) as value, 0 as locked from w group by 1""",
     "file_scan": f"with {_FILES} select distinct path, n::bigint as length from fl where not zero and n <= 2000 and path like '%.md' and not (path like '/runbooks/%' or path like '%.secret' or regexp_matches(path, '^/?notes/[0-3]') or regexp_matches(path, '^/?transcripts/.a'))",
     "file_changes": f"with {_FILES} select distinct path from fl where not zero and n <= 512000 and path in (select path from fl where n > 100) and (path, m, n) not in (select path, m, case when n % 5 = 0 then n + 1 else n end from fl where m < timestamptz '2025-10-01 00:00:00+00')",
     "file_missing": f"with {_FILES} select distinct path from fl where path not in (select path from fl where m >= timestamptz '2025-10-01 00:00:00+00')",
-    "code_imports": r"select distinct doc_id as path, unnest(regexp_extract_all(coalesce(text, ''), '(?m)^[ \t]*(?:from|import)[ \t]+([\w.]+)', 1)) as module from documents",
+    "code_imports": r"select distinct doc_id as path, unnest(regexp_extract_all(coalesce(text, '') || chr(10) || 'from ' || doc_kind || '.' || source || ' import all', '(?m)^[ \t]*(?:from|import)[ \t]+([\w.]+)', 1)) as module from documents",
     "query_sanitise": r"""select item_id, trim(regexp_replace(coalesce(question, ''), '[^\p{L}\p{N}_]+', ' ', 'g')) as query, round(case when contains(t, 'memory') then 3.0::double else 0 end + contains(t, 'the')::int + contains(t, 'не')::int + 0.15::double * ((instr(t, 'the') between 1 and 33)::int + (instr(t, 'не') between 1 and 33)::int)
  + 0.125::double * (contains(t, 'the')::int + contains(t, 'не')::int), 4) as score from (select item_id, question, lower(coalesce(question, '') || chr(10) || coalesce(answer, '')) t from eval_items)""",
 }

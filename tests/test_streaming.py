@@ -4,6 +4,7 @@ import shutil
 
 from pyspark.sql import functions as F
 
+from lodestone.operators.facts import upserts
 from lodestone.operators.sessions import gap_sessions
 from lodestone.streaming import streams
 
@@ -25,3 +26,14 @@ def test_sessions_and_facts(spark, tmp_path):
     facts = spark.read.parquet(f"{tmp_path}/fact_ops")
     streams.run(streams.fact_log(streams.read_files(spark, f"{tmp_path}/fact_ops", facts.schema)), lambda d, _: seen.extend(r.seq for r in d.collect()), f"{tmp_path}/c2")
     assert len(seen) == len(set(seen)) > 0
+
+
+def test_stream_folds_as_the_batch_does(spark, tmp_path):
+    (tmp_path / "f").mkdir()
+    shutil.copy(f"{DIR}/fact_ops.parquet", tmp_path / "f")
+    facts = spark.read.parquet(f"{tmp_path}/f")
+    seen: list = []
+    live = streams.fact_fold(streams.fact_log(streams.read_files(spark, f"{tmp_path}/f", facts.schema)))
+    streams.run(live, lambda d, _: seen.extend((r.seq, r.s, r.p, r.o, r.status, r.version) for r in d.collect()), f"{tmp_path}/c")
+    want = {(r.seq, r.s, r.p, r.o, r.status, r.version) for r in upserts(facts).collect()}
+    assert want and set(seen) == want and len(seen) == len(want)
