@@ -186,9 +186,12 @@ def _is_family(word: str, like: str) -> bool:
     return word[0].isupper()
 
 
-def persons(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
-    """start, end, given name or initial, family name of each person; taken spans are passed over."""
-    toks = [(m.start(), m.end(), m.group()) for m in WORD.finditer(text) if not any(a < m.end() and m.start() < b for a, b in taken)]
+def persons(text: str, taken: list[tuple[int, int]], maybe: list[tuple[int, int, str, str]] | None = None) -> list[tuple[int, int, str, str]]:
+    """start, end, given name or initial, family name of each person; taken spans are passed over. A listed given name and
+    another word, both in lower case, go to maybe: the corpus may know the word as a family name."""
+    toks = [(*m.span(), m.group()) for m in WORD.finditer(text)]
+    if taken:
+        toks = [t for t in toks if not any(a < t[1] and t[0] < b for a, b in taken)]
     out, i, n = [], 0, len(toks)
 
     def gap(j: int) -> str:
@@ -214,8 +217,12 @@ def persons(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str
         return toks[j][0] in cued and len(w) > 1 and w[0].isupper() and w.lower() not in NOT_FAMILY and w.lower() not in CUE_TITLES
 
     while i < n:
-        a, _, w = toks[i]
+        a, end, w = toks[i]
         low = w.lower()
+        # most words begin no name in any of the ways below
+        if not (low in GENDER or len(w) == 1 or a in cued or text[end : end + 1] == "," or "А" <= w[0] <= "Я" and base_given(low) or w[0] in "ІЇЄҐ" and base_given(low)):
+            i += 1
+            continue
         if i + 1 < n and given_at(i):
             j = i + 1
             if letter(j) and GAP.fullmatch(gap(i)) and j + 1 < n and GAP.fullmatch(gap(j)[1:]):
@@ -232,6 +239,8 @@ def persons(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str
                     out.append((a, e, given, base_family(fam.lower(), GENDER.get(given))))
                     i = j + 1
                     continue
+                if maybe is not None and w.islower() and fam.islower() and len(fam) > 2 and fam not in NOT_FAMILY and base_given(fam) is None:
+                    maybe.append((a, e, low, fam))
         if i + 1 < n and gap(i) in (", ", ",\n") and w[0].isupper() and _is_family(w, w) and low not in FIRST:
             nxt = toks[i + 1][2]
             if bare(i + 1)[1].lower() in GENDER and not nxt.islower():
@@ -260,9 +269,11 @@ def persons(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str
     return out
 
 
-def _found(text: str) -> tuple[list[tuple[str, int, int, str, str, str]], int]:
-    """kind, start, end, normal form, given and family name of every mention, and which kinds of signs the text holds."""
+def _found(text: str) -> tuple[list[tuple[str, int, int, str, str, str]], list[tuple[int, int, str, str]]]:
+    """kind, start, end, normal form, given and family name of every mention; and start, end and words of what may be a
+    name in lower case."""
     found: list[tuple[str, int, int, str, str, str]] = []
+    maybe: list[tuple[int, int, str, str]] = []
 
     def add(kind: str, a: int, b: int, norm: str, given: str = "", fam: str = "") -> None:
         if not any(x < b and a < y for _, x, y, *_ in found):
@@ -284,12 +295,12 @@ def _found(text: str) -> tuple[list[tuple[str, int, int, str, str, str]], int]:
         for m in ADDRESS.finditer(text):
             add("address", m.start(), m.end(), re.sub(r"[\W_]+", " ", m.group()).strip().lower())
     if near & 16:
-        people = persons(text, [(a, b) for _, a, b, *_ in found])
+        people = persons(text, [(a, b) for _, a, b, *_ in found], maybe)
         full = {(fam, given[0]): given for _, _, given, fam in people if not given.endswith(".")}
         for a, b, given, fam in people:
             # an initial stands for the full name of the same text, if one fits
             add("person", a, b, f"{full.get((fam, given[0]), given)} {fam}", full.get((fam, given[0]), given), fam)
-    return sorted(found, key=lambda x: x[1]), near
+    return sorted(found, key=lambda x: x[1]), [m for m in maybe if not any(x < m[1] and m[0] < y for _, x, y, *_ in found)]
 
 
 def mentions(text: str) -> list[tuple[str, int, int, str]]:
@@ -297,22 +308,18 @@ def mentions(text: str) -> list[tuple[str, int, int, str]]:
     return [x[:4] for x in _found(text)[0]]
 
 
-PAIR = re.compile(r"(?<![\w@./#\-])([^\W\d_]{2,})[ \u00a0](?=([^\W\d_]{2,}(?:-[^\W\d_]{2,})?)(?![\w@/]))")
+UPPER = "A-ZÀ-ÖØ-ÞĄĆČĘŁŃŚŠŹŻŽА-ЯЁІЇЄҐ"
+PAIR = re.compile(rf"(?<![\w@./#\-])([{UPPER}][^\W\d_]+)[ \u00a0](?=([{UPPER}][^\W\d_]+(?:-[^\W\d_]{{2,}})?)(?![\w@/]))")
 
 
-def likely(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str, str, bool]]:
-    """start, end, given, family of two words that may be a name if the corpus says so, and whether they are capitalised:
-    any two capitalised words, or a listed given name and another word in lower case. Taken spans are passed over."""
+def likely(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str, str]]:
+    """start, end, given, family of two capitalised words that may be a name if the corpus says so; taken spans are passed over."""
     out = []
     for m in PAIR.finditer(text):
         g, f = m.group(1), m.group(2)
         low, a, b = g.lower(), m.start(), m.end(2)
-        if low in NOT_FAMILY or f.lower() in NOT_FAMILY or low in CUE_TITLES or any(x < b and a < y for x, y in taken):
-            continue
-        if g[0].isupper() and g[1:].islower() and f[0].isupper() and not f.isupper() and base_given(low) is None:
-            out.append((a, b, low, f.lower(), True))
-        elif g.islower() and f.islower() and low in GENDER and low not in CASED:
-            out.append((a, b, low, f, False))
+        if g[1:].islower() and not f.isupper() and low not in NOT_FAMILY and f.lower() not in NOT_FAMILY and low not in CUE_TITLES and base_given(low) is None and not any(x < b and a < y for x, y in taken):
+            out.append((a, b, low, f.lower()))
     return out
 
 
@@ -323,9 +330,10 @@ def _detect(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for d in batches:
         rows = []
         for table, rec, h, text in zip(d["rec_table"], d["rec_id"], d["h"], d["text"], strict=True):
-            found = _found(text)[0]
+            found, small = _found(text)
             rows += [(table, rec, h, *m) for m in found]
-            rows += [(table, rec, h, "capitals" if big else "small", a, b, f"{g} {f}", g, f) for a, b, g, f, big in likely(text, [(a, b) for _, a, b, *_ in found])]
+            big = likely(text, [(a, b) for _, a, b, *_ in found])
+            rows += [(table, rec, h, kind, a, b, f"{g} {f}", g, f) for kind, pairs in (("capitals", big), ("small", small)) for a, b, g, f in pairs]
         yield pd.DataFrame(rows, columns=["rec_table", "rec_id", "h", "kind", "a", "b", "norm", "given", "fam"])
 
 

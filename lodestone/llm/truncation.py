@@ -34,7 +34,7 @@ END_MARK = r"(?:[.!?。！？])[\"'”’“»)\]`*_]*$"
 BLANK = "".join(map(chr, (*range(0x21), *range(0x7F, 0xA1), 0x1680, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)))
 # Word, number, end of sentence, other sign.
 TOKEN = r"[\p{L}\p{M}'’]+|\d+|[.!?]+|[|]|[,;:()\[\]]"
-WORD = r"^[\p{L}\d]"
+NO_WORD = tuple(".!?|,;:()[]'’")  # what tokens that are no words begin with
 
 MIN_AT_LIMIT = 5  # texts at one length before it can be a limit
 NEAR = 20  # lengths on either side that a candidate is compared with
@@ -139,7 +139,7 @@ def word_pairs(texts: DataFrame) -> DataFrame:
     t = texts.where(F.col("text").rlike(r"[.!?|]")).select(tokens(_shortened(F.col("text"))).alias("t")).where("size(t) > 1")
     n = F.size("t") - 1
     three = t.select(F.concat(F.array(F.lit("")), F.slice("t", F.lit(1), n - 1)).alias("w2"), F.slice("t", F.lit(1), n).alias("w1"), F.slice("t", F.lit(2), n).alias("next"))
-    pairs = three.select(F.inline(F.arrays_zip("w2", "w1", "next"))).where(F.col("w1").rlike(WORD))
+    pairs = three.select(F.inline(F.arrays_zip("w2", "w1", "next"))).where(~F.substring("w1", 1, 1).isin(*NO_WORD))
     return pairs.groupBy("w2", "w1").agg(F.count("*").alias("n"), F.sum(F.substring("next", 1, 1).isin(".", "!", "?", "|").cast("long")).alias("ends"))
 
 
