@@ -76,9 +76,9 @@ def _priority(source: Column) -> Column:
 
 
 def gathered(hits: DataFrame) -> DataFrame:
-    """Hits (qid, source, id, path, text, score) in order of source priority and score, the first of those with one
+    """Hits (qid, source, id, path, text, score) in order of source priority and score, then by source and id, the first of those with one
     source and one text (normal form of 800 characters): with pos."""
-    order = [_priority(F.col("source")), F.desc("score"), F.col("id")]
+    order = [_priority(F.col("source")), F.desc("score"), F.col("source"), F.col("id")]
     form = F.sha1(T.strict_form(F.substring(F.coalesce("text", F.lit("")), 1, 800)))
     x = hits.withColumn("_f", form).withColumn("_r", F.row_number().over(Window.partitionBy("qid", "source", "_f").orderBy(*order))).where("_r = 1").drop("_f", "_r")
     return x.withColumn("pos", F.row_number().over(Window.partitionBy("qid").orderBy(*order)))

@@ -154,7 +154,7 @@ bp as (select qid, rw.doc_id, rw.domain, id, path, text, extra, b.score bm25 fro
 dh as (select qid, domain, id, path, text, round(case when domain = 'workspace' then bm25 + 0.2::double * {_pair('text', 'phrase', 'toks')} else {_pair('text', 'phrase', 'toks')} end + case domain when 'lessons' then 1.0::double else 0.0::double end + extra, 4) score from bp join qt using (qid)),
 hx as (select qid, case domain when 'workspace' then 'hybrid' when 'messages' then 'stm' else domain end source, id, path, substr(text, 1, 800) text, score from dh where score > 0)"""
 _GATHER = rf"""{_DOMAINS}, pr as (select *, case source when 'prefs' then 0 when 'wm' then 1 when 'stm' then 2 when 'lessons' then 3 when 'episodes' then 4 else 10 end pri, regexp_replace(regexp_replace(regexp_replace(lower(substr(coalesce(text, ''), 1, 800)), '^\s+', ''), '\s+$', ''), '\s+', ' ', 'g') f from hx),
-g0 as (select *, row_number() over (partition by qid, source, f order by pri, score desc, id) r from pr), ga as (select qid, source, id, path, text, score, row_number() over (partition by qid order by pri, score desc, id) pos from g0 where r = 1)"""
+g0 as (select *, row_number() over (partition by qid, source, f order by pri, score desc, source, id) r from pr), ga as (select qid, source, id, path, text, score, row_number() over (partition by qid order by pri, score desc, source, id) pos from g0 where r = 1)"""
 _TURN = """{1} as (select *, '[' || source || ' score=' || printf('%.4f', score) || ' path=' || coalesce(path, '') || ']' || chr(10) || coalesce(text, '') || chr(10) block from (select *, min(pos) over (partition by qid, coalesce(path, '(no-path)')) first, row_number() over (partition by qid, coalesce(path, '(no-path)') order by pos) turn from ga where {0}) where turn <= 2),
 {1}u as (select *, row_number() over w place, sum(length(block)) over (w rows unbounded preceding) upto from {1} window w as (partition by qid order by turn, first))"""
 _PACK = rf"""{_GATHER}, {_TURN.format("source <> 'hybrid'", 'pa')}, {_TURN.format("source = 'hybrid'", 'pb')},
