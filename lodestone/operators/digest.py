@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import WORD2
+from lodestone.sources.tables import spread
 
 # Openings of a stated preference with its type, in order (en, ru, uk); what follows up to the end of the sentence is its value.
 PREFERENCE_OPENINGS = [
@@ -40,15 +41,15 @@ def stated_preferences(texts: DataFrame, top: int = 10) -> DataFrame:
 
     Values of up to two characters are left out; null and empty texts state nothing. Repeated rows give one row.
     """
-    t = F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+$", ""))
+    t = F.lower(F.rtrim(F.coalesce("text", F.lit("")), F.lit(" \t\n\x0b\f\r")))
 
     def matches(kind: str, opening: str):
         values = F.regexp_extract_all(F.col("t"), F.lit(opening_pattern(opening)), F.lit(1))
         return F.transform(values, lambda v: F.struct(F.lit(kind).alias("type"), F.regexp_replace(v, r"^\s+|\s+$", "").alias("value")))
 
     found = [matches(k, o) for k, o in PREFERENCE_OPENINGS]
-    x = texts.select("id", t.alias("t")).distinct().select("id", F.slice(F.filter(F.flatten(F.array(*found)), lambda m: F.length(m["value"]) > 2), 1, top).alias("ms"))
-    return x.select("id", F.posexplode("ms").alias("pos", "m")).select("id", (F.col("pos") + 1).cast("bigint").alias("pos"), "m.*")
+    x = spread(texts.select("id", t.alias("t"))).select("id", F.slice(F.filter(F.flatten(F.array(*found)), lambda m: F.length(m["value"]) > 2), 1, top).alias("ms"))
+    return x.select("id", F.posexplode("ms").alias("pos", "m")).select("id", (F.col("pos") + 1).cast("bigint").alias("pos"), "m.*").distinct()
 
 
 def compressed(messages: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions.text import loose_form, strict_form
 from lodestone.operators.sessions import newest_within
+from lodestone.sources.tables import checkpointed, spread
 
 
 def alive(df: DataFrame, expires, now: str) -> DataFrame:
@@ -29,8 +30,9 @@ def decayed(c, now: str, rate: float = 0.9, days: float = 30.0):
 
 def duplicate_lessons(df: DataFrame, loose: bool = False) -> DataFrame:
     """A10: texts of one normal form: the newest row wins (then the lower id): doc_id, winner of every other row."""
-    form = loose_form("text") if loose else strict_form("text")
-    x = df.select("doc_id", "created_at", form.alias("f")).where("f <> ''").select("doc_id", "created_at", F.sha2("f", 256).alias("h"))
+    form = F.sha2(loose_form("text") if loose else strict_form("text"), 256)
+    # the forms are worked out once, where the texts lie; what is left of them is a hash
+    x = checkpointed(spread(df.select("doc_id", "created_at", "text")).select("doc_id", "created_at", form.alias("h"))).where(F.col("h") != F.sha2(F.lit(""), 256))
     newest = F.max_by("doc_id", F.struct(F.coalesce(F.unix_micros("created_at"), F.lit(-1)), -F.col("doc_id")))
     best = x.groupBy("h").agg(newest.alias("winner"), F.count("*").alias("n")).where("n > 1")
     return x.join(best, "h").where("doc_id <> winner").select("doc_id", "winner")

@@ -12,7 +12,7 @@ from lodestone.sources.tables import spread
 
 def pref_patterns(spark, d):
     """X11 over every message."""
-    return D.stated_preferences(_messages(spark, d).select("id", F.col("content").alias("text")))
+    return D.stated_preferences(rt(spark, d, "messages").select("id", F.col("content").alias("text")))
 
 
 def compress_messages(spark, d):

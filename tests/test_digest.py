@@ -10,7 +10,7 @@ MSG = "id string, session_id string, role string, created_at timestamp, content
 def test_stated_preferences(spark):
     rows = [("a", "I want green tea. Never ask again!"), ("a", "I want green tea. Never ask again!"), ("b", "мне нужно больше времени"), ("c", None), ("d", ""), ("e", "reuse it; use ab"), ("f", "always x1y. " * 30)]
     got = {}
-    for r in D.stated_preferences(spark.createDataFrame(rows, "id string, text string")).collect():
+    for r in sorted(D.stated_preferences(spark.createDataFrame(rows, "id string, text string")).collect(), key=lambda r: (r.id, r.pos)):
         got.setdefault(r.id, []).append((r.pos, r.type, r.value))
     assert got.pop("f") == [(i + 1, "always", "x1y") for i in range(10)]
     assert got == {"a": [(1, "want", "green tea"), (2, "preference", "green tea"), (3, "never", "ask again")], "b": [(1, "need", "больше времени")]}
