@@ -49,7 +49,8 @@ def stated_preferences(texts: DataFrame, top: int = 10) -> DataFrame:
 
     found = [matches(k, o) for k, o in PREFERENCE_OPENINGS]
     x = spread(texts.select("id", t.alias("t"))).select("id", F.slice(F.filter(F.flatten(F.array(*found)), lambda m: F.length(m["value"]) > 2), 1, top).alias("ms"))
-    return x.select("id", F.posexplode("ms").alias("pos", "m")).select("id", (F.col("pos") + 1).cast("bigint").alias("pos"), "m.*").distinct()
+    # an outer explode, as Spark would work the array out twice to filter empty ones ahead of an inner one
+    return x.select("id", F.posexplode_outer("ms").alias("pos", "m")).where("m is not null").select("id", (F.col("pos") + 1).cast("bigint").alias("pos"), "m.*").distinct()
 
 
 def compressed(messages: DataFrame) -> DataFrame:
